@@ -16,8 +16,26 @@ def op8_vector_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_pii_spans(spark, sf_dir):
+    from .pii import KINDS, find
+
+    line = lambda which: F.concat_ws(
+        ",",
+        *(
+            F.when(F.size(f"{which}_{k}") > 0, F.expr(f"transform(sequence(0, size({which}_{k}) - 2, 2), i -> concat('{k}:', {which}_{k}[i], ':', {which}_{k}[i + 1]))"))
+            for k in KINDS
+        ),
+    )
+    return find(_docs(spark, sf_dir)).select(
+        "doc_id",
+        *((F.size(f"base_{k}") / 2).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(line("base").cast("binary"), 256).alias("base_sha256"),
+        line("all").alias("spans"),
+    )
+
+
 def queries():
-    return {f.__name__: f for f in (op8_vector_sharding,)}
+    return {f.__name__: f for f in (op8_vector_sharding, op10_pii_spans)}
 
 
 def oracle_sql():

@@ -9,6 +9,12 @@ def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_url_templates(spark, sf_dir):
+    from .urls import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op8_vector_sharding(spark, sf_dir):
     from .sharding import shard
 
@@ -35,7 +41,7 @@ def op10_pii_spans(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op8_vector_sharding, op10_pii_spans)}
+    return {f.__name__: f for f in (op6_url_templates, op8_vector_sharding, op10_pii_spans)}
 
 
 def oracle_sql():

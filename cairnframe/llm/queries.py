@@ -9,6 +9,14 @@ def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_language_bitmasks(spark, sf_dir):
+    from .langid import held_out, learn, predict
+
+    docs = _docs(spark, sf_dir)
+    filters = learn(spark, docs.where(~F.coalesce(held_out(), F.lit(False))))
+    return predict(spark, docs, filters).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_url_templates(spark, sf_dir):
     from .urls import judge
 
@@ -41,7 +49,7 @@ def op10_pii_spans(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op6_url_templates, op8_vector_sharding, op10_pii_spans)}
+    return {f.__name__: f for f in (op4_language_bitmasks, op6_url_templates, op8_vector_sharding, op10_pii_spans)}
 
 
 def oracle_sql():

@@ -9,6 +9,12 @@ def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_perplexity(spark, sf_dir):
+    from .quality import rate
+
+    return rate(spark, _docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op4_language_bitmasks(spark, sf_dir):
     from .langid import held_out, learn, predict
 
@@ -49,7 +55,7 @@ def op10_pii_spans(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_language_bitmasks, op6_url_templates, op8_vector_sharding, op10_pii_spans)}
+    return {f.__name__: f for f in (op2_quality_perplexity, op4_language_bitmasks, op6_url_templates, op8_vector_sharding, op10_pii_spans)}
 
 
 def oracle_sql():

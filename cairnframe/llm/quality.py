@@ -234,8 +234,8 @@ def rate(spark: SparkSession, docs: DataFrame, width: float = 5.0, least: float
     scored = scored.withColumn("base_failed", failed).withColumn("of", F.coalesce("lang", F.lit("")))
     good, root = scored.where(~F.col("base_failed")), F.sqrt(F.greatest("word_chars", F.lit(1)))
     middle = good.groupBy("of").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle"))
-    strays = good.join(F.broadcast(middle), "of").groupBy("of").agg(F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")) * root, 0.5, 10_000).alias("stray"))
+    strays = good.join(middle, "of").groupBy("of").agg(F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")) * root, 0.5, 10_000).alias("stray"))
     half = F.greatest(F.lit(least), width * 1.4826 * F.col("stray") / root)
-    bands = scored.join(F.broadcast(strays), "of", "left").withColumns({"lower": F.col("middle") - half, "upper": F.col("middle") + half})
+    bands = scored.join(strays, "of", "left").withColumns({"lower": F.col("middle") - half, "upper": F.col("middle") + half})
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
     return bands.withColumn("kept", ~F.col("base_failed") & inside).drop("of", "middle", "stray")

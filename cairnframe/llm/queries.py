@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 
@@ -9,6 +11,17 @@ def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: The tokenizer's model file; read by the driver, sent to the executors.
+PIECES = os.environ.get("CAIRNFRAME_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_sentencepiece_transducer(spark, sf_dir, model=PIECES):
+    from .pieces import encode
+
+    with open(model, "rb") as f:
+        return encode(spark, _docs(spark, sf_dir), f.read())
+
+
 def op2_quality_perplexity(spark, sf_dir):
     from .quality import rate
 
@@ -55,7 +68,7 @@ def op10_pii_spans(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_quality_perplexity, op4_language_bitmasks, op6_url_templates, op8_vector_sharding, op10_pii_spans)}
+    return {f.__name__: f for f in (op1_sentencepiece_transducer, op2_quality_perplexity, op4_language_bitmasks, op6_url_templates, op8_vector_sharding, op10_pii_spans)}
 
 
 def oracle_sql():

@@ -28,7 +28,13 @@ def op2_quality_perplexity(spark, sf_dir):
     return rate(spark, _docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
-def op4_language_bitmasks(spark, sf_dir):
+def op3_tag_path_text(spark, sf_dir):
+    from .html import extract_pages
+
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op3_tag_path_text, op4_language_bitmasks(spark, sf_dir):
     from .langid import held_out, learn, predict
 
     docs = _docs(spark, sf_dir)
@@ -68,7 +74,7 @@ def op10_pii_spans(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece_transducer, op2_quality_perplexity, op4_language_bitmasks, op6_url_templates, op8_vector_sharding, op10_pii_spans)}
+    return {f.__name__: f for f in (op1_sentencepiece_transducer, op2_quality_perplexity, op3_tag_path_text, op4_language_bitmasks, op6_url_templates, op8_vector_sharding, op10_pii_spans)}
 
 
 def oracle_sql():

@@ -122,7 +122,7 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
 
 
-def slices(batches, most_bytes: int = 24 << 20, text: str = "text"):
+def slices(batches, most_bytes: int = 4 << 20, text: str = "text"):
     """The batches, cut so that the texts of each part have most_bytes or are one row."""
     for b in batches:
         column = b.column(b.schema.get_field_index(text))

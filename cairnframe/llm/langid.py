@@ -30,6 +30,8 @@ from .common import Stored, batch, mix, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4, 5)
+#: Words whose n-grams are in memory at a time.
+BLOCK = 25_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -92,6 +94,8 @@ class Filters:
 
     def hits(self, words: list[str], orders=ORDERS) -> np.ndarray:
         """A row for each word: its n-grams that each language contains, and at the end its number of n-grams."""
+        if len(words) > BLOCK:
+            return np.concatenate([self.hits(words[i : i + BLOCK], orders) for i in range(0, len(words), BLOCK)])
         g, owner = grams(words, orders)
         masks, n = self.masks(g), len(words)
         columns = [np.bincount(owner[(masks[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=n) for k in range(len(self.languages))]
@@ -135,12 +139,12 @@ def learn(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str =
 
         def flush():
             for language, seen in sorted(held.items()):
-                g, owner = grams(list(seen), orders)
-                g, where = np.unique(g, return_inverse=True)
-                times = np.fromiter(seen.values(), np.int64, len(seen))
-                n = np.zeros(len(g), np.int64)
-                np.add.at(n, where, times[owner])
-                yield batch(counted, lang=pa.array([language] * len(g), pa.string()), gram=g.view(np.int64), n=n)
+                words, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+                for i in range(0, len(words), BLOCK):
+                    g, owner = grams(words[i : i + BLOCK], orders)
+                    g, where = np.unique(g, return_inverse=True)
+                    n = np.bincount(where, times[i + owner], minlength=len(g)).astype(np.int64)
+                    yield batch(counted, lang=pa.array([language] * len(g), pa.string()), gram=g.view(np.int64), n=n)
             held.clear()
 
         for b in slices(batches):

@@ -34,7 +34,7 @@ def op3_tag_path_text(spark, sf_dir):
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def op3_tag_path_text, op4_language_bitmasks(spark, sf_dir):
+def op4_language_bitmasks(spark, sf_dir):
     from .langid import held_out, learn, predict
 
     docs = _docs(spark, sf_dir)
@@ -55,6 +55,13 @@ def op8_vector_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_repeated_passages(spark, sf_dir):
+    from .substrings import remove_repeats
+
+    found = remove_repeats(spark, _docs(spark, sf_dir), length=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_pii_spans(spark, sf_dir):
     from .pii import KINDS, find
 
@@ -74,7 +81,7 @@ def op10_pii_spans(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece_transducer, op2_quality_perplexity, op3_tag_path_text, op4_language_bitmasks, op6_url_templates, op8_vector_sharding, op10_pii_spans)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql():

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,24 +72,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for frequent words in bounded memory."""
-
-    def __init__(self, most: int = 400_000, lower: bool = False):
-        super().__init__()
-        self.most, self.lower = most, lower
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -118,6 +100,45 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[: n - k + 1])
 
 
+_BYTES = np.arange(256)
+_LOWER = (_BYTES + 32 * ((_BYTES >= 65) & (_BYTES <= 90))).astype(np.uint8)
+_INK = ~((_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13))
+
+
+def _word_hashes(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    ink = _INK[data]
+    first = ink.copy()
+    first[1:] &= ~ink[:-1]
+    last = ink.copy()
+    last[:-1] &= ~ink[1:]
+    inner = cuts[(cuts > 0) & (cuts < len(data))]
+    first[inner] = ink[inner]
+    last[inner - 1] = ink[inner - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    h = mix(((total[end] - total[begin]) * down[begin]) ^ ((end - begin).astype(np.uint64) << np.uint64(40)))
+    return h, np.searchsorted(begin, cuts)
+
+
+def hashed_words(texts: pa.Array, lower: bool = False, most_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row (nulls have none), and where each text's begin, with the end at last."""
+    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    hashes, starts, i, n = [], [np.zeros(1, np.int64)], 0, 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most_bytes, side="right")) - 1)
+        h, at = _word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
+        hashes.append(h)
+        starts.append(n + at[1:])
+        n += len(h)
+        i = j
+    return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(starts)
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
 

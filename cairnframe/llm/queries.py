@@ -48,6 +48,12 @@ def op6_url_templates(spark, sf_dir):
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op7_simhash_leaks(spark, sf_dir):
+    from .leaks import leaks
+
+    return leaks(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_vector_sharding(spark, sf_dir):
     from .sharding import shard
 

@@ -19,15 +19,13 @@ and in their bucket.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD, WordHashes, batch, pieces, slices, windows
+from .common import batch, hashed_words, pieces, slices, windows
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -147,15 +145,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, seed:
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
 
     def anchors(batches):
-        hashes = WordHashes()
-        ids, texts, parts, held = [], [], [], 0
+        ids, texts, parts, sizes, held = [], [], [], [], 0
 
         def settle():
-            sizes = np.array([len(p) for p in parts], np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             first, anchor, fingerprint = elected(np.concatenate(parts), starts, length, seed)
             doc = np.searchsorted(starts, first, side="right") - 1
-            doc_id, doc_text, at = np.array(ids, np.int64)[doc], np.array(texts, np.uint32)[doc], (first - starts[doc]).astype(np.int32)
+            doc_id, doc_text, at = np.concatenate(ids)[doc], np.concatenate(texts)[doc], (first - starts[doc]).astype(np.int32)
             # Rows that share id and text are one document; the first of their windows stands for all.
             mine = _first_of((doc_id, doc_text, at), anchor, fingerprint)
             lead = np.flatnonzero(mine)
@@ -173,16 +169,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, seed:
                 yield repeats(doc_id[rest], doc_text[rest], at[rest])
 
         for b in slices(batches):
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = WORD.findall(t) if t else []
-                if len(words) >= length:
-                    ids.append(NO_ID if i is None else i)
-                    texts.append(xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")))
-                    parts.append(hashes.of(words))
-                    held += len(words)
-                    if held >= chunk_words:
-                        yield from settle()
-                        ids, texts, parts, held = [], [], [], 0
+            h, starts = hashed_words(b.column(1))
+            ids.append(_known(b.column(0)))
+            texts.append(_text_hashes(b.column(1)))
+            parts.append(h)
+            sizes.append(np.diff(starts))
+            held += len(h)
+            if held >= chunk_words:
+                yield from settle()
+                ids, texts, parts, sizes, held = [], [], [], [], 0
         if parts:
             yield from settle()
 
@@ -229,14 +224,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, seed:
     def texts_of(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
-            ids = b.column(0).to_pylist()
-            known = np.array([NO_ID if i is None else i for i in ids], np.int64)
+            known, digests = _known(b.column(0)), _text_hashes(b.column(1))
             data = [
-                b"\0" * 12 + bytes([i is None]) if t is None else np.array([k], np.int64).tobytes() + np.array([xxhash.xxh32_intdigest(e := t.encode("utf-8", "surrogatepass"))], np.uint32).tobytes() + bytes([i is None]) + press.compress(e)
-                for i, k, t in zip(ids, known, b.column(1).to_pylist())
+                np.array([k], np.int64).tobytes() + np.array([d], np.uint32).tobytes() + bytes([i is None]) + (press.compress(t.encode("utf-8", "surrogatepass")) if t else b"")
+                for k, d, i, t in zip(known, digests, b.column(0).to_pylist(), b.column(1).to_pylist())
             ]
-            data = [np.array([k], np.int64).tobytes() + x[8:] for k, x in zip(known, data)]
-            yield batch(ROW, bucket=_document_bucket(known, buckets), kind=np.full(len(ids), TEXT, np.int32), data=data)
+            yield batch(ROW, bucket=_document_bucket(known, buckets), kind=np.full(len(data), TEXT, np.int32), data=data)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -258,12 +251,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, seed:
                     table = _by_document(found)
                     found = []
                 doc_id, digest, none, t = int(np.frombuffer(data, np.int64, 1)[0]), int(np.frombuffer(data, np.uint32, 1, 8)[0]), data[12], data[13:]
-                words = WORD.findall(unpress.decompress(t).decode("utf-8", "surrogatepass")) if t else []
+                words = unpress.decompress(t).split() if t else []  # bytes split where WORD does
                 gone = table(doc_id, digest, len(words), length)
                 rows["doc_id"].append(None if none else doc_id)
                 rows["n_words"].append(len(words))
                 rows["n_removed"].append(0 if gone is None else int(gone.sum()))
-                rows["kept"].append(" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]))
+                rows["kept"].append(b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "replace"))
                 size += len(rows["kept"][-1])
                 if size > 4 << 20 or len(rows["kept"]) >= 5000:
                     yield batch(result, **rows)
@@ -298,5 +291,9 @@ def _by_document(found: list[list[np.ndarray]]):
     return covered
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _known(ids: pa.Array) -> np.ndarray:
+    return pa.compute.fill_null(ids, NO_ID).to_numpy(zero_copy_only=False)
+
+
+def _text_hashes(texts: pa.Array) -> np.ndarray:
+    return np.fromiter((0 if t is None else xxhash.xxh32_intdigest(t.as_buffer()) for t in texts), np.uint32, len(texts))

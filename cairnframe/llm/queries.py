@@ -42,6 +42,12 @@ def op4_language_bitmasks(spark, sf_dir):
     return predict(spark, docs, filters).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_components(spark, sf_dir):
+    from .jaccard import join
+
+    return join(spark, _docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_url_templates(spark, sf_dir):
     from .urls import judge
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stored, batch, hashed_words, mix, pieces, slices, unused, windows
@@ -110,9 +110,9 @@ class Tree:
                 yield i, j
                 continue
             f, n, m = self.fan, len(self.levels[level - 1][1]), len(other.levels[level - 1][1])
-            same_i, same_j = n == len(self.levels[level][1]) and level > 1 and self.levels[level] is self.levels[level - 1], m == len(other.levels[level][1]) and self.levels[level] is not None and other.levels[level] is other.levels[level - 1]
-            ci = i[:, None] if same_i else i[:, None] * f + np.arange(f)
-            cj = j[:, None] if same_j else j[:, None] * f + np.arange(f)
+            # A tree that was lower than the other has its root on several levels.
+            ci = i[:, None] if self.levels[level] is self.levels[level - 1] else i[:, None] * f + np.arange(f)
+            cj = j[:, None] if other.levels[level] is other.levels[level - 1] else j[:, None] * f + np.arange(f)
             step = max(1, most // (ci.shape[1] * cj.shape[1]))
             for k in range(0, len(i), step):
                 x, y = np.broadcast_arrays(ci[k : k + step, :, None], cj[k : k + step, None, :])
@@ -241,7 +241,8 @@ def _groups(blobs: DataFrame, block: int) -> DataFrame:
                 pairs = np.unique(np.stack([a, b], 1), axis=0)
                 taken = _forest(pairs)
                 pairs = pairs[taken]
-                yield batch(GROUPED, kind=np.zeros(len(pairs), np.int32), bucket=np.full(len(pairs), at, np.int64), a=pairs[:, 0].view(np.int64) if pairs.flags.c_contiguous else np.ascontiguousarray(pairs[:, 0]).view(np.int64), b=np.ascontiguousarray(pairs[:, 1]).view(np.int64), size=np.zeros(len(pairs), np.int64))
+                none = np.zeros(len(pairs), np.int64)
+                yield batch(GROUPED, kind=none.astype(np.int32), bucket=none + at, a=np.ascontiguousarray(pairs[:, 0]).view(np.int64), b=np.ascontiguousarray(pairs[:, 1]).view(np.int64), size=none)
             # Groups of the same nodes are one.
             names, first = np.unique(group, return_index=True)
             last = np.append(first[1:], len(group))
@@ -409,6 +410,36 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, common: float = 5e-4,
     return named.join(ids, "component", "left").select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of docs without those that a linked row stands for: of each component the row of its smallest doc_id stays. All columns stay.
+
+    Where no doc_id is null or repeated, rows leave by doc_id; else rows are told apart by doc_id and set, and of those that agree in
+    both one stays. Rows with an empty set are linked with nothing and all stay.
+    """
+    found = Stored(spark, "jaccard-kept").write(join(spark, docs, k).select("doc_id", "n_shingles", "node", "component_id"))
+    n, ids = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if n == ids:
+        gone = found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+        return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    node = unused(docs, "node")
+    schema = pa.schema([("node", pa.int64())])
+    at = docs.columns.index("text") if "text" in docs.columns else 0
+
+    def run(batches):
+        for b in slices(batches):
+            s, doc = shingle_sets(b.column(at).cast(pa.string()), k)
+            prints = fingerprints(s, doc, b.num_rows)[1].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, schema.field(0).type)], names=[*b.schema.names, node])
+
+    tagged = docs.mapInArrow(run, docs.schema.add(node, "long"))
+    full = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"), "node")).alias("least"))
+    keep = found.where("n_shingles > 0").distinct().join(full, found["component_id"].eqNullSafe(full["component_id"])).where("coalesce(doc_id, 9223372036854775807) = least.d and node = least.node")
+    keep = keep.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
+    one = tagged.join(keep, tagged["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (tagged[node] == F.col("kept_node"))).dropDuplicates(["kept_id", "kept_node"]).select(*[tagged[c] for c in docs.columns])
+    none = found.where("n_shingles = 0").select("node").distinct().withColumnRenamed("node", "none_node")
+    return one.unionAll(tagged.join(none, tagged[node] == F.col("none_node"), "left_semi").select(*docs.columns))
+
+
 def _tree_pairs(groups: DataFrame, sets: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """Distinct pairs that the trees of groups with several components let through."""
     labelled = groups.distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -31,8 +31,9 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import batch, slices
+from .common import slices, unused
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -268,21 +269,24 @@ def compiled(model: bytes) -> Transducer:
     return kept[key]
 
 
-ENCODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-
-
-def encode(spark: SparkSession, docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_pieces, ids and the text decoded from them, for every row of docs (doc_id, text)."""
+def encode(spark: SparkSession, docs: DataFrame, model: bytes, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns `keep` of docs (doc_id alone if None), n_pieces, ids and the text decoded from them, for every row of docs."""
     sent = spark.sparkContext.broadcast(model)
+    keep = ["doc_id"] if keep is None else keep
+    source = docs.select(*keep, docs[text].cast("string").alias(unused(docs, "encoded_text")))
+    added = [unused(docs.select(*keep), n) for n in ("n_pieces", "ids", "decoded")]
 
     def run(batches):
         fst = compiled(sent.value)
-        for b in slices(batches):
-            ids = [None if t is None else fst.encode(t) for t in b.column(1).to_pylist()]
+        for b in slices(batches, text=b_text):
+            ids = [None if t is None else fst.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
             lengths = [0 if x is None else len(x) for x in ids]
             flat = pa.array(np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)]), pa.int32())
             none = np.array([x is None for x in ids])
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.int32(), mask=np.append(none, False))
-            yield batch(ENCODED, doc_id=b.column(0), n_pieces=lengths, ids=pa.ListArray.from_arrays(offsets, flat), decoded=[None if x is None else fst.decode(x) for x in ids])
+            decoded = pa.array([None if x is None else fst.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(offsets, flat), decoded], names=[*b.schema.names[:-1], *added])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, decoded string")
+    b_text = source.columns[-1]
+    schema = source.select(*source.columns[:-1]).schema.add(added[0], T.LongType()).add(added[1], T.ArrayType(T.IntegerType())).add(added[2], T.StringType())
+    return source.mapInArrow(run, schema)

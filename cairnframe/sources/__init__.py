@@ -1,0 +1 @@
+"""Scans of CSV, JSON and Parquet."""

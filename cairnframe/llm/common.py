@@ -35,10 +35,10 @@ class Stored:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame, *by: str) -> DataFrame:
+    def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
-        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, n: int) -> None:

@@ -9,8 +9,8 @@ node, so copies never multiply.
 2. Linked sets share a shingle in their prefixes under one global order of shingles: common ones last, then by hash. A prefix is
    the first |x| - ceil(4|x|/5) + 1 shingles, and of the smaller of the two |x| - ceil(8|x|/9) + 1 suffice. Prefixes meet by shingle;
    nodes that meet form groups. No other pair can link.
-3. A sparse first round of candidates, a spanning forest of the groups in each bucket, is verified on whole sets and gives
-   first components.
+3. A sparse first round of candidates, a spanning forest of the groups in each bucket, is pruned by the trees' bitmaps, verified on
+   whole sets and gives first components.
 4. Groups that still hold several components are searched by signature trees: items carry token bitmaps; hierarchical nodes hold the OR
    of their bitmaps, the range of sizes and the slack (elements that bitmaps can't show). A dual traversal descends only into pairs of
    nodes that are not wholly in one component, whose size ranges fit, and whose maximum possible overlap, popcount(a & b) + least slack,
@@ -30,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Stored, batch, hashed_words, mix, pieces, slices, unused, windows
 
-BITS = 1024
-WORDS = BITS // 64
+LEAST_BITS = 1024
 
 
 def need(s, t):
@@ -69,6 +69,32 @@ def fingerprints(s: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
     return size, mix((total[ends] - total[ends - size]) ^ mix(size.astype(np.uint64) + np.uint64(1)))
 
 
+def bits_for(size: np.ndarray) -> np.ndarray:
+    """A bitmap's bits: a power of two, two for each element at least, so linked sets' bitmaps differ by a factor of two at most."""
+    return LEAST_BITS << np.ceil(np.log2(np.maximum(2 * size / LEAST_BITS, 1))).astype(np.int64)
+
+
+def bitmaps_of(s: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
+    bits = bits_for(np.bincount(doc, minlength=n))
+    ends = np.cumsum(bits)
+    flat = np.zeros(int(ends[-1]) if n else 0, bool)
+    flat[(ends - bits)[doc] + ((s >> np.uint64(20)) & (bits - 1)[doc].astype(np.uint64)).astype(np.int64)] = True
+    packed = np.packbits(flat)
+    return [packed[(e - b) // 8 : e // 8].tobytes() for b, e in zip(bits.tolist(), ends.tolist())]
+
+
+def folded(bitmaps: np.ndarray) -> np.ndarray:
+    """The bitmaps of half as many bits."""
+    half = bitmaps.shape[1] // 2
+    return bitmaps[:, :half] | bitmaps[:, half:]
+
+
+def may_link(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """Whether the maximum possible overlap of pairs of items suffices."""
+    spare = np.minimum(sizes_a - np.bitwise_count(a).sum(1).astype(np.int64), sizes_b - np.bitwise_count(b).sum(1).astype(np.int64))
+    return np.bitwise_count(a & b).sum(1).astype(np.int64) + spare >= need(sizes_a, sizes_b)
+
+
 class Tree:
     """A signature tree over items (bitmaps, sizes, components), `fan` children to a node, in the order given."""
 
@@ -122,8 +148,8 @@ class Tree:
 
 
 def _first_pass(docs: DataFrame, k: int, least_local: int) -> DataFrame:
-    """kind 0: doc_id, size, fingerprint of each row; kind 1: shingle and count, where a chunk holds it often."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+    """kind 0: doc_id, fingerprint, size and bitmap of each row; kind 1: shingle and count, where a chunk holds it often."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
 
     def run(batches):
         held, ids, size = [], [np.empty(0, np.uint64)], 0
@@ -131,12 +157,13 @@ def _first_pass(docs: DataFrame, k: int, least_local: int) -> DataFrame:
         def often():
             s, n = np.unique(np.concatenate(held), return_counts=True)
             at = n >= least_local
-            return batch(schema, kind=np.ones(at.sum(), np.int32), doc_id=pa.nulls(int(at.sum()), pa.int64()), key=s[at].view(np.int64), n=n[at])
+            none = int(at.sum())
+            return batch(schema, kind=np.ones(none, np.int32), doc_id=pa.nulls(none, pa.int64()), key=s[at].view(np.int64), n=n[at], bitmap=pa.nulls(none, pa.binary()))
 
         for b in slices(batches):
             s, doc = shingle_sets(b.column(1), k)
             sizes, prints = fingerprints(s, doc, b.num_rows)
-            yield batch(schema, kind=np.zeros(b.num_rows, np.int32), doc_id=b.column(0), key=prints.view(np.int64), n=sizes.astype(np.int64))
+            yield batch(schema, kind=np.zeros(b.num_rows, np.int32), doc_id=b.column(0), key=prints.view(np.int64), n=sizes.astype(np.int64), bitmap=bitmaps_of(s, doc, b.num_rows))
             fresh = np.zeros(b.num_rows, bool)
             fresh[np.unique(prints, return_index=True)[1]] = True
             fresh &= ~np.isin(prints, np.concatenate(ids))  # a copy in this chunk counts once
@@ -149,7 +176,7 @@ def _first_pass(docs: DataFrame, k: int, least_local: int) -> DataFrame:
         if held:
             yield often()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long")
+    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, bitmap binary")
 
 
 BLOB = "bucket int, data binary"
@@ -285,11 +312,11 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bitmap", pa.binary()), ("data", pa.binary())])
+SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
 
 
 def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """node, size, bitmap and the set, for documents that pass the Bloom filter of wanted nodes (and maybe others)."""
+    """node, size and the set, for documents that pass the Bloom filter of wanted nodes (and maybe others)."""
 
     def run(batches):
         bits = wanted.value
@@ -305,16 +332,10 @@ def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
             if not len(chosen):
                 continue
             ends = np.cumsum(sizes)
-            bitmaps, data = [], []
-            for d in chosen:
-                own = s[ends[d] - sizes[d] : ends[d]]
-                bit = np.zeros(BITS, bool)
-                bit[(own >> np.uint64(54)).astype(np.int64)] = True
-                bitmaps.append(np.packbits(bit).tobytes())
-                data.append(own.view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes())
-            yield batch(SETS, node=prints[chosen].view(np.int64), size=sizes[chosen].astype(np.int64), bitmap=bitmaps, data=data)
+            data = [s[ends[d] - sizes[d] : ends[d]].view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes() for d in chosen]
+            yield batch(SETS, node=prints[chosen].view(np.int64), size=sizes[chosen].astype(np.int64), data=data)
 
-    return docs.mapInArrow(run, "node long, size long, bitmap binary, data binary")
+    return docs.mapInArrow(run, "node long, size long, data binary")
 
 
 def _set_of(data: bytes) -> np.ndarray:
@@ -347,10 +368,40 @@ def _bloom(spark: SparkSession, nodes: DataFrame, words: int = 1 << 20) -> np.nd
     return bits
 
 
+def _sided(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with the table's columns for both, as <column>_a and <column>_b."""
+    one = table.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = table.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    both = pairs.join(one, "a").join(two, "b").where("5 * size_a >= 4 * size_b and 5 * size_b >= 4 * size_a")
+    return both.select("a", "b", *(f"{c}_{side}" for c in columns for side in "ab"))
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that their bitmaps let link, as leaves of a signature tree would."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            sa, sb = (b.column(k).to_numpy() for k in (2, 3))
+            ma, mb = (np.array([*b.column(k).to_pylist(), None], object)[:-1] for k in (4, 5))
+            wa, wb = bits_for(sa), bits_for(sb)
+            ok = np.zeros(len(sa), bool)
+            for x, y in {*zip(wa.tolist(), wb.tolist())}:
+                at = np.flatnonzero((wa == x) & (wb == y))
+                one, two = (np.frombuffer(b"".join(m[at]), np.uint64).reshape(len(at), -1) for m in (ma, mb))
+                while one.shape[1] > two.shape[1]:
+                    one = folded(one)
+                while two.shape[1] > one.shape[1]:
+                    two = folded(two)
+                ok[at] = may_link(one, two, sa[at], sb[at])
+            ok = pa.array(ok)
+            yield batch(schema, a=b.column(0).filter(ok), b=b.column(1).filter(ok))
+
+    return _sided(pairs, nodes, "size", "bitmap").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that link."""
-    one = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bitmap").alias("bits_a"), F.col("data").alias("data_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bitmap").alias("bits_b"), F.col("data").alias("data_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -361,7 +412,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = pa.array(ok, pa.bool_())
             yield batch(schema, a=a.filter(ok), b=b.filter(ok))
 
-    return pairs.join(one, "a").join(two, "b").where("5 * size_a >= 4 * size_b and 5 * size_b >= 4 * size_a").select("a", "b", "size_a", "size_b", "data_a", "data_b").mapInArrow(run, "a long, b long")
+    return _sided(pairs, sets, "size", "data").mapInArrow(run, "a long, b long")
 
 
 def components(spark: SparkSession, links: DataFrame, store: Stored) -> DataFrame:
@@ -385,29 +436,39 @@ def components(spark: SparkSession, links: DataFrame, store: Stored) -> DataFram
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int = 5, common: float = 5e-4, block: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for every row of docs (doc_id, text)."""
-    store, buckets = Stored(spark, "jaccard"), pieces(spark) * 2
+    """doc_id, n_shingles, node, component (its smallest node; null without shingles), component_id for every row of docs (doc_id, text)."""
+    store, buckets = Stored(spark, "jaccard"), pieces(spark)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    first = store.write(_first_pass(rows, k, 4), "kind")
+    first = store.write(_first_pass(rows, k, 4))
     mine = first.where("kind = 0").select("doc_id", F.col("key").alias("node"), F.col("n").alias("n_shingles"))
     total = mine.count()
     often = first.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16.0, common * total)).select("key").toArrow()
     sent = spark.sparkContext.broadcast(np.sort(often.column("key").to_numpy().view(np.uint64)))
     blobs = _prefixes(rows.select("doc_id", "text"), k, sent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    grouped = store.write(_groups(blobs, block), "kind")
+    grouped = store.write(_groups(blobs, block))
     pairs = grouped.where("kind = 0").select("a", "b").distinct()
     groups = grouped.where("kind = 1").select(F.col("bucket").alias("g"), F.col("a").alias("node"), F.col("b").alias("blocks"))
-    wanted = spark.sparkContext.broadcast(_bloom(spark, groups.select("node").distinct()))
-    sets = store.write(_sets(rows, k, wanted).dropDuplicates(["node"]))
+    members = groups.select("node").distinct()
+    nodes = store.write(first.where("kind = 0").select(F.col("key").alias("node"), F.col("n").alias("size"), "bitmap").join(members, "node", "left_semi").dropDuplicates(["node"]))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+        return store.write(_sets(rows, k, spark.sparkContext.broadcast(_bloom(spark, ends))).dropDuplicates(["node"]))
+
+    pairs = store.write(_plausible(pairs, nodes))
+    sets = sets_of(pairs)
     links = store.write(_verified(pairs, sets))
     found = store.write(components(spark, links, store))
-    more = _tree_pairs(groups, sets, found, buckets)
-    more = store.write(_verified(more, sets))
+    more = store.write(_tree_pairs(groups, nodes, found, buckets))
     if more.limit(1).count():
-        found = store.write(components(spark, links.unionAll(more), store))
+        ends = more.select(F.col("a").alias("node")).unionAll(more.select("b")).distinct()
+        if ends.join(sets, "node", "left_anti").limit(1).count():
+            sets = sets_of(more)
+        links = links.unionAll(store.write(_verified(more, sets)))
+        found = store.write(components(spark, links, store))
     named = mine.join(found, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     ids = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(ids, "component", "left").select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.join(ids, "component", "left").select("doc_id", "n_shingles", "node", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
@@ -416,7 +477,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     Where no doc_id is null or repeated, rows leave by doc_id; else rows are told apart by doc_id and set, and of those that agree in
     both one stays. Rows with an empty set are linked with nothing and all stay.
     """
-    found = Stored(spark, "jaccard-kept").write(join(spark, docs, k).select("doc_id", "n_shingles", "node", "component_id"))
+    found = Stored(spark, "jaccard-kept").write(join(spark, docs, k))
     n, ids = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if n == ids:
         gone = found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("gone"))
@@ -431,20 +492,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
             prints = fingerprints(s, doc, b.num_rows)[1].view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, schema.field(0).type)], names=[*b.schema.names, node])
 
-    tagged = docs.mapInArrow(run, docs.schema.add(node, "long"))
-    full = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"), "node")).alias("least"))
-    keep = found.where("n_shingles > 0").distinct().join(full, found["component_id"].eqNullSafe(full["component_id"])).where("coalesce(doc_id, 9223372036854775807) = least.d and node = least.node")
+    tagged = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
+    full = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"), "node")).alias("least"))
+    keep = found.where("n_shingles > 0").join(full, "component").where("coalesce(doc_id, 9223372036854775807) = least.d and node = least.node")
     keep = keep.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
     one = tagged.join(keep, tagged["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (tagged[node] == F.col("kept_node"))).dropDuplicates(["kept_id", "kept_node"]).select(*[tagged[c] for c in docs.columns])
     none = found.where("n_shingles = 0").select("node").distinct().withColumnRenamed("node", "none_node")
     return one.unionAll(tagged.join(none, tagged[node] == F.col("none_node"), "left_semi").select(*docs.columns))
 
 
-def _tree_pairs(groups: DataFrame, sets: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+def _tree_pairs(groups: DataFrame, nodes: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """Distinct pairs that the trees of groups with several components let through."""
     labelled = groups.distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    items = labelled.join(several, "g").join(sets.select("node", "size", "bitmap"), "node")
+    items = labelled.join(several, "g").join(nodes, "node")
     # A group of more than one block is searched as all pairs of its blocks.
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
     items = items.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -455,22 +516,37 @@ def _tree_pairs(groups: DataFrame, sets: DataFrame, found: DataFrame, buckets: i
         task, held = None, []
 
         def settle():
-            own, node, component, size, bitmap = (np.concatenate(x) for x in zip(*held))
+            own, node, component, size = (np.concatenate([h[k] for h in held]) for k in range(4))
+            bitmap = np.concatenate([h[4] for h in held])
             order = np.lexsort((node, size, component))
             own, node, component, size, bitmap = own[order], node[order], component[order], size[order], bitmap[order]
-            _, component = np.unique(component, return_inverse=True)
-            component = component.astype(np.int64)
-            sides = [own == task[1]] if task[1] == task[2] else [own == task[1], own == task[2]]
-            if not all(s.any() for s in sides):
-                return
-            trees = [Tree(bitmap[s], size[s], component[s]) for s in sides]
-            for i, j in trees[0].pairs(trees[-1]):
-                x, y = node[sides[0]][i], node[sides[-1]][j]
+            component = np.unique(component, return_inverse=True)[1].astype(np.int64)
+            width = bits_for(size)
+            sides = []  # for each side: bits -> nodes, tree, and tree of the folded bitmaps
+            for block in dict.fromkeys(task[1:]):
+                side = {}
+                for w in np.unique(width[own == block]).tolist():
+                    at = np.flatnonzero((own == block) & (width == w))
+                    bits = np.frombuffer(b"".join(bitmap[at]), np.uint64).reshape(len(at), -1)
+                    side[w] = node[at], Tree(bits, size[at], component[at]), Tree(folded(bits), size[at], component[at])
+                sides.append(side)
+            one, two = sides[0], sides[-1]
+            for w, (nodes_a, tree, tree_half) in one.items():
+                if w in two:
+                    yield from emit(nodes_a, two[w][0], tree, two[w][1])
+                if 2 * w in two:
+                    yield from emit(nodes_a, two[2 * w][0], tree, two[2 * w][2])
+                if w // 2 in two and two is not one:
+                    yield from emit(nodes_a, two[w // 2][0], tree_half, two[w // 2][1])
+
+        def emit(nodes_a, nodes_b, tree_a, tree_b):
+            for i, j in tree_a.pairs(tree_b):
+                x, y = nodes_a[i], nodes_b[j]
                 yield batch(schema, a=np.minimum(x, y), b=np.maximum(x, y))
 
         for b in batches:
             g, i, j, own, node, component, size = (b.column(k).to_numpy() for k in range(7))
-            bits = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, WORDS)
+            bits = np.array([*b.column(7).to_pylist(), None], object)[:-1]
             key = np.stack([g, i, j], 1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for x, y in zip(np.append(0, cuts), np.append(cuts, len(g))):

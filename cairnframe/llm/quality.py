@@ -3,8 +3,8 @@
 The model reads characters: letters fold to 26 classes (accents and case fall away; letters of other scripts are dealt over the same
 classes), and blanks, digits, sentence marks, symbols and the text's start have one class each. Spark counts the 4-grams of all
 texts; the driver turns them into an interpolated modified Kneser-Ney model kept in sorted hash arrays. Its size has a proven bound
-at any corpus size: 32**4 4-grams for each of `slots` model slots, to which languages are dealt by crc32 (a null language is a
-language of its own). So the model can be broadcast, and scoring needs no shuffle.
+at any corpus size: 32**4 4-grams for each of `slots` model slots. The languages with the most documents have one each, all others share
+the last four (a null language is a language of its own). So the model can be broadcast, and scoring needs no shuffle.
 
 A document's log perplexity is the mean negative log probability of its characters. For each language, the band lies around the median m of
 all its documents that pass the base rules. A mean over n characters strays as c / sqrt(n), and c is measured: 1.4826 times the median
@@ -70,11 +70,24 @@ def packed(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, starts
 
 
-def slot_of(lang: str | None, slots: int) -> int:
-    return zlib.crc32((lang or "\0").encode()) % slots
+class Slots(dict):
+    """The model slot of each language: one of its own for those with the most documents, by crc32 one of the last four for others."""
 
+    def __init__(self, own: list[str | None], slots: int):
+        super().__init__((lang, n) for n, lang in enumerate(own))
+        self.slots = slots
 
-def count(docs: DataFrame, slots: int, text: str = "text", lang: str = "lang") -> DataFrame:
+    def __missing__(self, lang: str | None) -> int:
+        return self.slots - 1 - zlib.crc32((lang or "").encode()) % min(4, self.slots)
+
+
+def slots_of(docs: DataFrame, slots: int, lang: str = "lang") -> Slots:
+    """The driver gets at most `slots` languages."""
+    top = docs.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max(0, slots - 4))
+    return Slots([r["lang"] for r in top.collect()], slots)
+
+
+def count(docs: DataFrame, slots: Slots, text: str = "text", lang: str = "lang") -> DataFrame:
     """slot, code, n: how often each 4-gram occurs in all texts. Each task sends a 4-gram once."""
     schema = pa.schema([("slot", pa.int32()), ("code", pa.int32()), ("n", pa.int64())])
 
@@ -84,7 +97,7 @@ def count(docs: DataFrame, slots: int, text: str = "text", lang: str = "lang") -
             by: dict[int, list[str]] = {}
             for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t:
-                    by.setdefault(slot_of(l, slots), []).append(t)
+                    by.setdefault(slots[l], []).append(t)
             for s, texts in by.items():
                 n = np.bincount(packed(texts, classes)[0], minlength=1 << BITS * ORDER)
                 seen[s] = seen[s] + n if s in seen else n
@@ -160,8 +173,8 @@ class KneserNey:
         return out
 
 
-def train(docs: DataFrame, slots: int = 16, text: str = "text", lang: str = "lang") -> KneserNey:
-    table = count(docs, slots, text, lang).toArrow()  # at most slots * 32**4 rows
+def train(docs: DataFrame, slots: Slots, text: str = "text", lang: str = "lang") -> KneserNey:
+    table = count(docs, slots, text, lang).toArrow()  # at most 32**4 rows for each slot
     slot, code, n = (table.column(k).to_numpy() for k in ("slot", "code", "n"))
     counts = {}
     for s in np.unique(slot):
@@ -201,7 +214,7 @@ def base(text: str) -> tuple[int, int, int, int, int]:
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("log_perplexity", pa.float64())])
 
 
-def score(spark: SparkSession, docs: DataFrame, model: KneserNey, slots: int = 16) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: KneserNey, slots: Slots) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -213,7 +226,7 @@ def score(spark: SparkSession, docs: DataFrame, model: KneserNey, slots: int = 1
             by: dict[int, list[int]] = {}
             for n, (t, l) in enumerate(zip(texts, langs)):
                 if t:
-                    by.setdefault(slot_of(l, slots), []).append(n)
+                    by.setdefault(slots[l], []).append(n)
             for s, mine in by.items():
                 codes, starts = packed([texts[n] for n in mine], classes)
                 known = np.flatnonzero(np.bincount(codes, minlength=1 << BITS * ORDER))
@@ -228,6 +241,7 @@ def score(spark: SparkSession, docs: DataFrame, model: KneserNey, slots: int = 1
 
 def rate(spark: SparkSession, docs: DataFrame, width: float = 5.0, least: float = 0.12, slots: int = 16) -> DataFrame:
     """For every row of docs (doc_id, text, lang): the counts, log_perplexity, its band (lower, upper), base_failed and kept."""
+    slots = slots_of(docs, slots)
     model = train(docs, slots)
     scored = Stored(spark, "quality").write(score(spark, docs, model, slots))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -72,21 +72,27 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, bundles: int =
         fair = max(1.0, *(v * shards / t for v, t in zip((r["bytes"], r["tokens"], r["n_rows"]), total) if t))
         n = 1 if fair <= 1 else shards * int(np.ceil(fair))
         split.append((r["g1"], r["text_crc32"], r["size"], following, n))
-        for k in range(n):
-            items.append(following + k)
-            vectors.append((r["bytes"] / n, r["tokens"] / n, r["n_rows"] / n))
+        if n == 1:
+            items.append(following)
+            vectors.append((r["bytes"], r["tokens"], r["n_rows"]))
         following += n
+    heavies = F.broadcast(spark.createDataFrame(split, "g1 long, text_crc32 long, size long, first_item long, n long").coalesce(1))
+    salt = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n)
+    piece = F.col("first_item") + salt(F.col("n"), 2)
+    if any(n > 1 for *_, n in split):
+        # What the pieces really hold: at most shards * 3 * (shards + 1) of them.
+        for r in rows.join(heavies.where("n > 1"), group).groupBy(piece.alias("item")).agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")).collect():
+            items.append(r["item"])
+            vectors.append((r["bytes"], r["tokens"], r["n_rows"]))
     placed = pack(np.array(vectors, float).reshape(-1, 3), shards)
 
     # Slots: rows are dealt to about sub_buckets parts of at most a few bundles' worth, whose counts give each part its first slot.
     each = max(1.0, total[2] / sub_buckets)
     of_item = [(int(i), int(s), int(np.ceil(max(1.0, v[2] / each)))) for i, s, v in zip(items, placed, vectors)]
     places = F.broadcast(spark.createDataFrame(of_item, "item long, shard int, parts int").coalesce(1))
-    heavies = F.broadcast(spark.createDataFrame(split, "g1 long, text_crc32 long, size long, first_item long, n long").coalesce(1))
-    salt = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n)
     dealt = (
         rows.join(heavies, group, "left")
-        .withColumn("item", F.when(F.col("n").isNull(), spread).otherwise(F.col("first_item") + salt(F.col("n"), 2)))
+        .withColumn("item", F.when(F.col("n").isNull(), spread).otherwise(piece))
         .join(places, "item")
         .select("doc_id", "size", "tokens", "text_crc32", "g1", "shard", "item", salt(F.col("parts"), 3).alias("part"))
     )

@@ -296,4 +296,4 @@ def _known(ids: pa.Array) -> np.ndarray:
 
 
 def _text_hashes(texts: pa.Array) -> np.ndarray:
-    return np.fromiter((0 if t is None else xxhash.xxh32_intdigest(t.as_buffer()) for t in texts), np.uint32, len(texts))
+    return np.fromiter((xxhash.xxh32_intdigest(t.as_buffer()) if t.is_valid else 0 for t in texts), np.uint32, len(texts))

@@ -1,8 +1,8 @@
 """URL filters: a path-template tree per host, with DataFrame and SQL functions only.
 
 A url's path becomes a template, segment by segment: a segment that looks generated (digits, hexadecimal, dates, a long mixture)
-turns into a wildcard that keeps its shape (`<n>`, `<hex>`, `<id>`), and the literal children of a node turn into `<*>` where the node
-has more than `fan_out` of them and few pages for each. Sibling branches of a host (same depth, same following shapes, differing in
+turns into a wildcard that keeps its shape (`<n>`, `<hex>`, `<id>`), and the literal children of a node that have fewer than `rare` pages
+turn into `<*>` where the node has more than `fan_out` of them. Sibling branches of a host (same depth, same following shapes, differing in
 one literal segment) merge where a two-proportion test can't tell their labelled shares apart and each holds enough labelled
 pages. A template is rejected where its smoothed labelled purity, (blocked + strength * the host's smoothed share) / (pages +
 strength), reaches `reject_at`: pages without a label count as not blocked, so that a template falls only by what is known of it.
@@ -70,7 +70,7 @@ def templates(pages: DataFrame, depth: int) -> DataFrame:
     return pages.withColumn("t", cut)
 
 
-def judge(pages: DataFrame, rules=RULES, label: str | None = None, depth: int = 4, fan_out: int = 50, strength: float = 4.0, reject_at: float = 0.7, z: float = 1.64) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, label: str | None = None, depth: int = 4, fan_out: int = 50, rare: int = 10, strength: float = 4.0, reject_at: float = 0.7, z: float = 1.64) -> DataFrame:
     """page_id, host, path, rule, template, purity, verdict for every row of pages (page_id, url and `label`, true for bad, if named)."""
     known = [F.col(label).cast("boolean").alias("given")] if label else []
     base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), *known)
@@ -84,16 +84,17 @@ def judge(pages: DataFrame, rules=RULES, label: str | None = None, depth: int =
     tree = base.groupBy("host", "t").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad").isNotNull()).alias("labelled"), F.count_if("bad").alias("blocked"))
     tree = store.write(tree.withColumn("from", F.col("t")))
     for level in range(depth):
-        # Generalise: literal children of one parent, too many for their pages, become <*>.
-        at = F.get("t", F.lit(level))
-        node = tree.where(F.size("t") > level).groupBy("host", F.slice("t", 1, level).alias("parent"), at.alias("child")).agg(F.sum("n").alias("child_n"))
-        parents = node.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("child_n").alias("parent_n"))
-        wide = parents.where((F.col("children") > fan_out) & (F.col("parent_n") < 5 * F.col("children"))).select("host", F.col("parent").alias("key"), F.lit(True).alias("wide"))
+        # Generalise: rare literal children of one parent, if there are many, become <*>.
+        at, key = F.get("t", F.lit(level)), F.slice("t", 1, level)
+        node = tree.where((F.size("t") > level) & ~F.startswith(at, F.lit("<"))).groupBy("host", key.alias("key"), at.alias("child")).agg(F.sum("n").alias("child_n"))
+        scarce = node.where(F.col("child_n") < rare).select("host", "key", "child")
+        wide = scarce.groupBy("host", "key").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > fan_out).select("host", "key")
+        scarce = scarce.join(wide, ["host", "key"]).withColumn("wide", F.lit(True))
         tree = store.write(
-            tree.withColumn("key", F.slice("t", 1, level))
-            .join(wide, ["host", "key"], "left")
-            .withColumn("t", F.when(F.col("wide") & (F.size("t") > level) & ~F.startswith(at, F.lit("<")), F.concat(F.slice("t", 1, level), F.array(F.lit("<*>")), F.slice("t", level + 2, depth + 1))).otherwise(F.col("t")))
-            .drop("key", "wide")
+            tree.withColumns({"key": key, "child": at})
+            .join(scarce, ["host", "key", "child"], "left")
+            .withColumn("t", F.when(F.col("wide"), F.concat("key", F.array(F.lit("<*>")), F.slice("t", level + 2, depth + 1))).otherwise(F.col("t")))
+            .drop("key", "child", "wide")
         )
     merged = tree.groupBy("host", "t").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
 

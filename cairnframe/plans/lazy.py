@@ -40,10 +40,10 @@ class CancelToken:
     def run(self, spark: SparkSession, work):
         """work(), whose Spark jobs end when the token is cancelled."""
         self.check()
-        tag = f"cairnframe-{uuid.uuid4().hex}"
+        tag, context = f"cairnframe-{uuid.uuid4().hex}", spark.sparkContext
         with self._lock:
-            self._calls[tag] = lambda: spark.interruptTag(tag)
-        spark.addTag(tag)
+            self._calls[tag] = lambda: context.cancelJobsWithTag(tag)
+        context.addJobTag(tag)
         try:
             out = work()
         except Exception as e:
@@ -51,7 +51,7 @@ class CancelToken:
                 raise Cancelled("cancelled") from e
             raise
         finally:
-            spark.removeTag(tag)
+            context.removeJobTag(tag)
             with self._lock:
                 del self._calls[tag]
         self.check()

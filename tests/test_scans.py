@@ -114,7 +114,7 @@ def test_cancelling(csv, json, spark):
     token = CancelToken()
 
     def slow():
-        spark.range(10**12).selectExpr("sum(hash(id) % 7)").collect()
+        spark.range(2 * 10**10).selectExpr("sum(hash(id) % 7)").collect()
 
     threading.Timer(1.0, token.cancel).start()
     began = time.time()

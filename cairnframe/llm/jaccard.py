@@ -9,8 +9,8 @@ node, so copies never multiply.
 2. Linked sets share a shingle in their prefixes under one global order of shingles: common ones last, then by hash. A prefix is
    the first |x| - ceil(4|x|/5) + 1 shingles, and of the smaller of the two |x| - ceil(8|x|/9) + 1 suffice. Prefixes meet by shingle;
    nodes that meet form groups. No other pair can link.
-3. A sparse first round of candidates, a spanning forest of the groups in each bucket, is pruned by the trees' bitmaps, verified on
-   whole sets and gives first components.
+3. A sparse first round of candidates, a spanning forest of the groups in each bucket and a few random neighbours in large groups, is
+   pruned by the trees' bitmaps, verified on whole sets and gives first components.
 4. Groups that still hold several components are searched by signature trees: items carry token bitmaps; hierarchical nodes hold the OR
    of their bitmaps, the range of sizes and the slack (elements that bitmaps can't show). A dual traversal descends only into pairs of
    nodes that are not wholly in one component, whose size ranges fit, and whose maximum possible overlap, popcount(a & b) + least slack,
@@ -232,6 +232,8 @@ def _prefixes(docs: DataFrame, k: int, common, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, BLOB)
 
 
+#: Groups of at least so many nodes get candidates in so many random orders as well.
+LARGE, ROUNDS = 32, 4
 GROUPED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64())])
 
 
@@ -257,17 +259,25 @@ def _groups(blobs: DataFrame, block: int) -> DataFrame:
             # A group can link only if one of it has the shingle in its smaller prefix.
             useful = np.add.reduceat(code & np.uint32(1), first) > 0
             keep &= np.repeat(useful, many)
+            many_kept = useful & (many > 1)
             token, node, code, group = token[keep], node[keep], code[keep].astype(np.int64), np.repeat(np.arange(len(many)), many)[keep]
             if not len(token):
                 return
             size = code >> 1
             # Neighbours by size in each group; of equal pairs one; then a forest of them.
             near = np.flatnonzero((group[1:] == group[:-1]) & (5 * size[:-1] >= 4 * size[1:]))
-            a, b = np.minimum(node[near], node[near + 1]), np.maximum(node[near], node[near + 1])
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0)
-                taken = _forest(pairs)
-                pairs = pairs[taken]
+            pairs = _ordered_pairs(node[near], node[near + 1])
+            found = [pairs[_forest(pairs)]]
+            # In large groups also neighbours in some random orders, the same in all groups: near copies of one text, of which each links
+            # with some only, then come together before the trees compare what is left.
+            large = np.flatnonzero(np.repeat(many[many_kept] >= LARGE, many[many_kept]))
+            for seed in range(ROUNDS if len(large) else 0):
+                at_ = large[np.lexsort((mix(node[large] ^ np.uint64(seed + 1)), group[large]))]
+                x, y = at_[:-1], at_[1:]
+                fits = (group[x] == group[y]) & (5 * size[x] >= 4 * size[y]) & (5 * size[y] >= 4 * size[x])
+                found.append(_ordered_pairs(node[x[fits]], node[y[fits]]))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            if len(pairs):
                 none = np.zeros(len(pairs), np.int64)
                 yield batch(GROUPED, kind=none.astype(np.int32), bucket=none + at, a=np.ascontiguousarray(pairs[:, 0]).view(np.int64), b=np.ascontiguousarray(pairs[:, 1]).view(np.int64), size=none)
             # Groups of the same nodes are one.
@@ -295,6 +305,10 @@ def _groups(blobs: DataFrame, block: int) -> DataFrame:
     return blobs.mapInArrow(run, "kind int, bucket long, a long, b long, size long")
 
 
+def _ordered_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
 def _forest(pairs: np.ndarray) -> np.ndarray:
     """Which pairs join two trees, in order."""
     names, at = np.unique(pairs, return_inverse=True)
@@ -502,14 +516,17 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _tree_pairs(groups: DataFrame, nodes: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """Distinct pairs that the trees of groups with several components let through."""
+    """Pairs, each once, that the trees of groups with several components let through."""
     labelled = groups.distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    items = labelled.join(several, "g").join(nodes, "node")
+    items = labelled.join(several, "g")
+    # A pair that meets in many groups is given once, in the least of them.
+    listed = items.groupBy("node").agg(F.collect_list("g").alias("met"))
+    items = items.join(nodes.join(listed, "node"), "node")
     # A group of more than one block is searched as all pairs of its blocks.
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
     items = items.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    items = items.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "size", "bitmap")
+    items = items.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "size", "bitmap", "met")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -517,9 +534,9 @@ def _tree_pairs(groups: DataFrame, nodes: DataFrame, found: DataFrame, buckets:
 
         def settle():
             own, node, component, size = (np.concatenate([h[k] for h in held]) for k in range(4))
-            bitmap = np.concatenate([h[4] for h in held])
+            bitmap, met = (np.concatenate([h[k] for h in held]) for k in (4, 5))
             order = np.lexsort((node, size, component))
-            own, node, component, size, bitmap = own[order], node[order], component[order], size[order], bitmap[order]
+            own, node, component, size, bitmap, met = own[order], node[order], component[order], size[order], bitmap[order], met[order]
             component = np.unique(component, return_inverse=True)[1].astype(np.int64)
             width = bits_for(size)
             sides = []  # for each side: bits -> nodes, tree, and tree of the folded bitmaps
@@ -528,25 +545,26 @@ def _tree_pairs(groups: DataFrame, nodes: DataFrame, found: DataFrame, buckets:
                 for w in np.unique(width[own == block]).tolist():
                     at = np.flatnonzero((own == block) & (width == w))
                     bits = np.frombuffer(b"".join(bitmap[at]), np.uint64).reshape(len(at), -1)
-                    side[w] = node[at], Tree(bits, size[at], component[at]), Tree(folded(bits), size[at], component[at])
+                    side[w] = (node[at], [frozenset(m) for m in met[at]]), Tree(bits, size[at], component[at]), Tree(folded(bits), size[at], component[at])
                 sides.append(side)
             one, two = sides[0], sides[-1]
-            for w, (nodes_a, tree, tree_half) in one.items():
+            for w, (items_a, tree, tree_half) in one.items():
                 if w in two:
-                    yield from emit(nodes_a, two[w][0], tree, two[w][1])
+                    yield from emit(items_a, two[w][0], tree, two[w][1])
                 if 2 * w in two:
-                    yield from emit(nodes_a, two[2 * w][0], tree, two[2 * w][2])
+                    yield from emit(items_a, two[2 * w][0], tree, two[2 * w][2])
                 if w // 2 in two and two is not one:
-                    yield from emit(nodes_a, two[w // 2][0], tree_half, two[w // 2][1])
+                    yield from emit(items_a, two[w // 2][0], tree_half, two[w // 2][1])
 
-        def emit(nodes_a, nodes_b, tree_a, tree_b):
+        def emit(items_a, items_b, tree_a, tree_b):
             for i, j in tree_a.pairs(tree_b):
-                x, y = nodes_a[i], nodes_b[j]
+                here = np.fromiter((min(items_a[1][x] & items_b[1][y]) == task[0] for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+                x, y = items_a[0][i[here]], items_b[0][j[here]]
                 yield batch(schema, a=np.minimum(x, y), b=np.maximum(x, y))
 
         for b in batches:
             g, i, j, own, node, component, size = (b.column(k).to_numpy() for k in range(7))
-            bits = np.array([*b.column(7).to_pylist(), None], object)[:-1]
+            bits, met = (np.array([*b.column(k).to_pylist(), None], object)[:-1] for k in (7, 8))
             key = np.stack([g, i, j], 1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for x, y in zip(np.append(0, cuts), np.append(cuts, len(g))):
@@ -555,8 +573,8 @@ def _tree_pairs(groups: DataFrame, nodes: DataFrame, found: DataFrame, buckets:
                     yield from settle()
                     held = []
                 task = now
-                held.append((own[x:y], node[x:y], component[x:y], size[x:y], bits[x:y]))
+                held.append((own[x:y], node[x:y], component[x:y], size[x:y], bits[x:y], met[x:y]))
         if held:
             yield from settle()
 
-    return items.repartition(buckets, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return items.repartition(buckets, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")

@@ -27,6 +27,7 @@ pair), sets by 64-bit fingerprints of them.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -233,7 +234,7 @@ def _prefixes(docs: DataFrame, k: int, common, buckets: int) -> DataFrame:
 
 
 #: Groups of at least so many nodes get candidates in so many random orders as well.
-LARGE, ROUNDS = 32, 4
+LARGE, ROUNDS = 128, 3
 GROUPED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64())])
 
 
@@ -495,7 +496,18 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     n, ids = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if n == ids:
         gone = found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("gone"))
-        return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+        # A Bloom filter of fixed size lets most rows stay where they are; the exact join sees those it can't tell.
+        bits = spark.sparkContext.broadcast(_bloom(spark, gone))
+
+        @F.pandas_udf("boolean")
+        def suspect(ids: pd.Series) -> pd.Series:
+            out = np.ones(len(ids), bool)
+            for word, mask in _bloom_places(ids.to_numpy().astype(np.int64).view(np.uint64), len(bits.value)):
+                out &= (bits.value[word] & mask) != 0
+            return pd.Series(out)
+
+        hit = suspect(docs["doc_id"].cast("long"))
+        return docs.where(~hit).unionAll(docs.where(hit).join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti"))
     node = unused(docs, "node")
     schema = pa.schema([("node", pa.int64())])
     at = docs.columns.index("text") if "text" in docs.columns else 0

@@ -251,27 +251,21 @@ def _groups(blobs: DataFrame, block: int) -> DataFrame:
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
             token, node, code = token[fresh], node[fresh], code[fresh]
-            cuts = np.flatnonzero(np.diff(token)) + 1
-            first, last = np.append(0, cuts), np.append(cuts, len(token))
-            many = last - first
-            keep = np.repeat(many > 1, many)
-            if not keep.any():
+            group = np.cumsum(np.append(0, token[1:] != token[:-1])) if len(token) else token.astype(np.int64)
+            size, index = code.astype(np.int64) >> 1, (code & np.uint32(1)).astype(np.int64)
+            keep = _needed(group, size, index)
+            node, size, group = node[keep], size[keep], group[keep]
+            if not len(node):
                 return
-            # A group can link only if one of it has the shingle in its smaller prefix.
-            useful = np.add.reduceat(code & np.uint32(1), first) > 0
-            keep &= np.repeat(useful, many)
-            many_kept = useful & (many > 1)
-            token, node, code, group = token[keep], node[keep], code[keep].astype(np.int64), np.repeat(np.arange(len(many)), many)[keep]
-            if not len(token):
-                return
-            size = code >> 1
+            group = np.cumsum(np.append(0, group[1:] != group[:-1]))
+            many = np.bincount(group)
             # Neighbours by size in each group; of equal pairs one; then a forest of them.
             near = np.flatnonzero((group[1:] == group[:-1]) & (5 * size[:-1] >= 4 * size[1:]))
             pairs = _ordered_pairs(node[near], node[near + 1])
             found = [pairs[_forest(pairs)]]
             # In large groups also neighbours in some random orders, the same in all groups: near copies of one text, of which each links
             # with some only, then come together before the trees compare what is left.
-            large = np.flatnonzero(np.repeat(many[many_kept] >= LARGE, many[many_kept]))
+            large = np.flatnonzero(np.repeat(many >= LARGE, many))
             for seed in range(ROUNDS if len(large) else 0):
                 at_ = large[np.lexsort((mix(node[large] ^ np.uint64(seed + 1)), group[large]))]
                 x, y = at_[:-1], at_[1:]
@@ -306,6 +300,18 @@ def _groups(blobs: DataFrame, block: int) -> DataFrame:
     return blobs.mapInArrow(run, "kind int, bucket long, a long, b long, size long")
 
 
+def _needed(group: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Which members, sorted by group and size, can be in a linked pair of their group.
+
+    Sizes must fit, and the smaller of the two must have the group's shingle in its smaller prefix (index).
+    """
+    key = group << 32 | size
+    from_own, to_larger = np.searchsorted(key, key), np.searchsorted(key, group << 32 | 5 * size // 4, side="right")
+    from_smaller, to_own = np.searchsorted(key, group << 32 | -(-4 * size // 5)), np.searchsorted(key, key, side="right")
+    indexed = np.append(0, np.cumsum(index))
+    return (index > 0) & (to_larger - from_own > 1) | (indexed[to_own] - indexed[from_smaller] - index > 0)
+
+
 def _ordered_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
 

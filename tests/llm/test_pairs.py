@@ -175,6 +175,8 @@ def brute_leaks(rows, items, least=0.8, slack=0.1):
                 continue
             k = min(5, len(own))
             a, s = Counter(tuple(own[n : n + k]) for n in range(len(own) - k + 1)), [tuple(words[n : n + k]) for n in range(len(words) - k + 1)]
+            if a.keys().isdisjoint(s):
+                continue
             spare = int(len(own) * slack)
             for size in range(max(k, len(own) - spare), len(own) + spare + 1):
                 m = min(size - k + 1, len(s))

@@ -139,6 +139,7 @@ class Transducer:
         self.merged: dict[str, list[str]] = {}
         self.pairs: dict[tuple[str, str], float] = {}
         self.remembered: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         read = [b"" if kind == CONTROL else bytes([int(p[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
         self.read = np.array(read, dtype=object)
 
@@ -172,7 +173,7 @@ class Transducer:
             return -self.score[piece] if piece in self.score else self.unknown_cost
         found = self.pairs.get((before, piece))
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             right = self.merge(piece) == [piece] if before is None else self.merge(before + piece) == [before, piece]
             self.pairs[before, piece] = found = 0.0 if right else INFINITE
@@ -242,15 +243,17 @@ class Transducer:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        have, out = self.remembered, []
+        out = []
         for part in self.part.findall(self.normalise(text)):
-            ids = have.get(part)
+            ids = self.remembered.get(part)
             if ids is None:
-                ids = np.array(self.written(self.shortest(part)), np.int32).tobytes()
+                ids = self.older.get(part)
+                if ids is None:
+                    ids = np.array(self.written(self.shortest(part)), np.int32).tobytes()
                 if len(part) <= 64:
-                    if len(have) >= 500_000:
-                        have.clear()
-                    have[part] = ids
+                    if len(self.remembered) >= 120_000:  # what was used since the last time stays
+                        self.older, self.remembered = self.remembered, {}
+                    self.remembered[part] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 

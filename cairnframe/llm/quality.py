@@ -1,12 +1,20 @@
 """Quality rules with an n-gram perplexity band for each language.
 
-The model reads characters: letters fold to 26 classes (accents and case fall away; letters of other scripts are dealt over the same
-classes), and blanks, digits, sentence marks, symbols and the text's start have one class each. Spark counts the 4-grams of all
-texts; the driver turns them into an interpolated modified Kneser-Ney model kept in sorted hash arrays. Its size has a proven bound
-at any corpus size: 32**4 4-grams for each of `slots` model slots. The languages with the most documents have one each, all others share
-the last four (a null language is a language of its own). So the model can be broadcast, and scoring needs no shuffle.
+The model reads words, and grows with the corpus: each language has the counts of all its words and all pairs of neighbouring words, by 64-bit
+hashes of the exact text. A word's probability after another is (c(pair) + PAIRS * p(word)) / (c(other) + PAIRS), a Dirichlet prior;
+p(word) mixes its share of the language's words with NOVEL of its spelling. A text's own counts are taken off before it is scored, so
+what only it says is new to it. In scripts written without blanks each character is a word.
 
-A document's log perplexity is the mean negative log probability of its characters. For each language, the band lies around the median m of
+No task and not the driver holds the counts: rows are dealt to slices of some MB, each slice sends its distinct n-grams once, dealt by hash to
+buckets, a bucket adds them up and answers each slice with the totals in the order of its keys. Slices and buckets grow with the input.
+
+Spelling and blanks are priced by characters: letters fold to 26 classes (accents and case fall away; letters of other scripts are dealt over the
+same classes), and blanks, digits, sentence marks, symbols and the text's start have one class each. Spark counts the 4-grams of all
+texts; the driver turns them into an interpolated modified Kneser-Ney model kept in sorted hash arrays, at most 32**4 4-grams for each of `slots`
+model slots, which is broadcast. The languages with the most documents have one slot each, all others share the last four (a null language
+is a language of its own).
+
+A document's log perplexity is its negative log probability for each of its characters. For each language, the band lies around the median m of
 all its documents that pass the base rules. A mean over n characters strays as c / sqrt(n), and c is measured: 1.4826 times the median
 of |log perplexity - m| * sqrt(n) over the same documents. The band of a document is m plus and minus the larger of `least`
 and `width` * c / sqrt(n); documents outside are rejected, above as noise and below as repetition.
@@ -18,6 +26,7 @@ has no band and rejects nothing by it.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 import zlib
 
@@ -26,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Stored, batch, mix, slices
+from .common import ODD, WORD, Stored, batch, mix, powers, slices
 
 ORDER, BITS = 4, 5
+#: The weight of a word's own probability after another, in pairs, and that of its spelling in its own probability.
+PAIRS, NOVEL = 32.0, 0.01
 SYMBOLS = "#*$%&|<>"
 START, SPACE, DIGIT, MARK, SYMBOL, OTHER = 0, 27, 28, 29, 30, 31
 
@@ -214,29 +225,170 @@ def base(text: str) -> tuple[int, int, int, int, int]:
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("log_perplexity", pa.float64())])
 
 
-def score(spark: SparkSession, docs: DataFrame, model: KneserNey, slots: Slots) -> DataFrame:
-    sent = spark.sparkContext.broadcast(model)
+def _alone() -> np.ndarray:
+    """Characters of scripts written without blanks, which are words of their own."""
+    out = np.zeros(0x40000, bool)
+    for first, end in ((0xE00, 0xF00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000)):
+        out[first:end] = True
+    return out
 
-    def run(batches):
-        classes, lm = _classes(), sent.value
-        for b in slices(batches):
-            ids, texts, langs = (b.column(k).to_pylist() for k in range(3))
-            texts = [t or "" for t in texts]
-            found = np.full(len(texts), np.nan)
-            by: dict[int, list[int]] = {}
-            for n, (t, l) in enumerate(zip(texts, langs)):
-                if t:
-                    by.setdefault(slots[l], []).append(n)
-            for s, mine in by.items():
+
+def words_of(texts: list[str], alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and 64-bit hash of the words of all texts in a row, and the text of each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    ink = ~((points == 32) | (points >= 9) & (points <= 13))
+    single = alone[np.minimum(points, len(alone) - 1)]
+    cut = np.ones(len(points) + 1, bool)  # between i - 1 and i
+    cut[1:-1] = ~ink[1:] | ~ink[:-1] | single[1:] | single[:-1]
+    starts = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    cut[starts] = True
+    begin, end = np.flatnonzero(cut[:-1] & ink), np.flatnonzero(cut[1:] & ink) + 1
+    up, down = powers(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    h = mix(((total[end] - total[begin]) * down[begin]) ^ ((end - begin).astype(np.uint64) << np.uint64(40)))
+    return begin, end, h, np.searchsorted(starts, begin, side="right")
+
+
+def seed_of(lang: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0" if lang is None else b"=" + lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Grams:
+    """The keys of a slice's rows: for each word that of its language, of the word before, of the word and of both; a text's start is a word before."""
+
+    def __init__(self, texts: list[str], langs: list[str | None], most: int = 1 << 20):
+        alone, parts, i = _alone(), [], 0
+        while i < len(texts):  # about `most` characters at once
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= most):
+                size += len(texts[j])
+                j += 1
+            _, _, h, of = words_of(texts[i:j], alone)
+            parts.append((h, of + i))
+            i = j
+        h = np.concatenate([p[0] for p in parts] or [np.empty(0, np.uint64)])
+        self.of = np.concatenate([p[1] for p in parts] or [np.empty(0, np.int64)])
+        known = {l: seed_of(l) for l in set(langs)}
+        self.lang = mix(np.array([known[l] for l in langs], np.uint64))
+        seed = self.lang[self.of]
+        self.word = mix(h + seed)
+        first = np.ones(len(h), bool)
+        first[1:] = self.of[1:] != self.of[:-1]
+        self.before = np.concatenate([np.zeros(1, np.uint64), self.word[:-1]])[: len(h)]
+        self.before[first] = mix(seed[first] + np.uint64(1))
+        self.first = first
+        self.pair = mix(self.before * ODD + self.word)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct keys, and how often each occurs."""
+        return np.unique(np.concatenate([self.lang[self.of], self.before[self.first], self.word, self.pair]), return_counts=True)
+
+    def own(self, keys: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """For each word, how often its text has keys[i] among its `counted`."""
+        salt = mix(self.of.astype(np.uint64) + np.uint64(1))
+        have, n = np.unique(mix(counted + salt), return_counts=True)
+        asked = mix(keys + salt)
+        at = np.minimum(np.searchsorted(have, asked), max(0, len(have) - 1))
+        return np.where(have[at] == asked, n[at], 0) if len(have) else np.zeros(len(keys), np.int64)
+
+
+def log_words(g: Grams, keys: np.ndarray, totals: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """ln p of each word after the one before it, by the counts of all other rows."""
+    of = lambda k: totals[np.searchsorted(keys, k)].astype(float)
+    size = np.bincount(g.of, minlength=len(g.lang))[g.of]
+    n = of(g.lang[g.of]) - size
+    word = of(g.word) - g.own(g.word, g.word)
+    pair = of(g.pair) - g.own(g.pair, g.pair)
+    before = of(g.before) - np.where(g.first, 1, g.own(g.before, g.word))
+    p = np.where(n > 0, (1 - NOVEL) * word / np.maximum(n, 1) + NOVEL * np.exp(spelled), np.exp(spelled))
+    # What is too long to be spelled in a double is priced by its spelling alone.
+    p = (pair + PAIRS * p) / (before + PAIRS)
+    rest = spelled + np.where(n > 0, np.log(NOVEL), 0.0) + np.log(PAIRS / (before + PAIRS))
+    return np.where(p > 1e-290, np.log(np.maximum(p, 1e-300)), rest)
+
+
+def bounds(buckets: int) -> np.ndarray:
+    """The first key of each bucket but the first."""
+    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+
+def totals_of(dealt: DataFrame, buckets: int) -> DataFrame:
+    """part, bucket, totals: how often all texts have the distinct keys of each part of `dealt`, in the keys' order."""
+    sent = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+    answer = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary())])
+
+    def send(table):
+        texts, langs = ([t or "" for t in table.column("text").to_pylist()], table.column("lang").to_pylist())
+        keys, n = Grams(texts, langs).distinct()
+        at = np.concatenate([[0], np.searchsorted(keys, bounds(buckets)), [len(keys)]])
+        n = n.astype(np.uint32)
+        some = [b for b in range(buckets) if at[b] < at[b + 1]]
+        part = table.column("part")[0].as_py()
+        return pa.table(
+            [[part] * len(some), some, [keys[at[b] : at[b + 1]].tobytes() for b in some], [n[at[b] : at[b + 1]].tobytes() for b in some]], schema=sent
+        )
+
+    def add(table):
+        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        n = [np.frombuffer(k, np.uint32) for k in table.column("n").to_pylist()]
+        _, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, np.concatenate(n)).astype(np.int64)[where]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        return pa.table([table.column("part"), table.column("bucket"), [t.tobytes() for t in np.split(total, cuts)]], schema=answer)
+
+    found = dealt.groupBy("part").applyInArrow(send, "part long, bucket long, keys binary, n binary")
+    return found.groupBy("bucket").applyInArrow(add, "part long, bucket long, totals binary")
+
+
+def score(spark: SparkSession, docs: DataFrame, model: KneserNey, slots: Slots, part_bytes: int = 16 << 20) -> DataFrame:
+    sent = spark.sparkContext.broadcast(model)
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
+    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes
+    buckets = 8 + parts // 4
+    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(parts)))
+
+    def run(table, answers):
+        classes, alone, lm = _classes(), _alone(), sent.value
+        ids, texts, langs = (table.column(k).to_pylist() for k in ("doc_id", "text", "lang"))
+        texts = [t or "" for t in texts]
+        grams = Grams(texts, langs)
+        keys = grams.distinct()[0]
+        order = np.argsort(answers.column("bucket").to_numpy())
+        blobs = answers.column("totals").to_pylist()
+        totals = np.concatenate([np.frombuffer(blobs[i], np.int64) for i in order] or [np.empty(0, np.int64)])
+        assert len(totals) == len(keys)
+        found, spelled, first = np.zeros(len(texts)), np.zeros(len(grams.of)), np.searchsorted(grams.of, np.arange(len(texts) + 1))
+        by: dict[int, list[int]] = {}
+        for n, (t, l) in enumerate(zip(texts, langs)):
+            if t:
+                by.setdefault(slots[l], []).append(n)
+        for s, all_mine in by.items():
+            size = np.cumsum([len(texts[n]) for n in all_mine]) >> 20
+            for mine in np.split(np.array(all_mine), np.flatnonzero(np.diff(size)) + 1):
                 codes, starts = packed([texts[n] for n in mine], classes)
                 known = np.flatnonzero(np.bincount(codes, minlength=1 << BITS * ORDER))
-                table = np.zeros(1 << BITS * ORDER)
-                table[known] = lm.log_p(s, known)
-                found[mine] = -np.add.reduceat(table[codes], starts[:-1]) / np.diff(starts)
-            counted = np.array([base(t) for t in texts], np.int64).reshape(-1, 5)
-            yield batch(SCORED, doc_id=ids, lang=langs, **{n: counted[:, k] for k, n in enumerate(SCORED.names[2:7])}, log_perplexity=pa.array(found, pa.float64(), mask=np.isnan(found)))
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang").mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
+                price = np.zeros(1 << BITS * ORDER)
+                price[known] = lm.log_p(s, known)
+                sums = np.concatenate([[0.0], np.cumsum(price[codes])])
+                begin, end, _, of = words_of([texts[n] for n in mine], alone)
+                letters = sums[end] - sums[begin]
+                spelled[np.concatenate([np.arange(first[n], first[n + 1]) for n in mine])] = letters
+                found[mine] = np.diff(sums[starts]) - np.bincount(of, letters, len(mine))  # the blanks
+        found += np.bincount(grams.of, log_words(grams, keys, totals, spelled), len(texts))
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        counted = np.array([base(t) for t in texts], np.int64).reshape(-1, 5)
+        return pa.Table.from_batches(
+            [batch(SCORED, doc_id=ids, lang=langs, **{n: counted[:, k] for k, n in enumerate(SCORED.names[2:7])}, log_perplexity=pa.array(-found / np.maximum(length, 1), pa.float64(), mask=length == 0))]
+        )
+
+    return (
+        dealt.groupBy("part")
+        .cogroup(totals_of(dealt, buckets).groupBy("part"))
+        .applyInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
+    )
 
 
 def rate(spark: SparkSession, docs: DataFrame, width: float = 5.0, least: float = 0.12, slots: int = 16) -> DataFrame:

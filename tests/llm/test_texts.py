@@ -183,6 +183,65 @@ def test_bands_against_brute_force(spark, sf):
             assert g["kept"] == (abs(g["log_perplexity"] - m) <= max(0.12, 5 * c / g["word_chars"] ** 0.5))
 
 
+def test_words_follow_the_corpus(spark):
+    """Real words in senseless order are less likely than in the order of the corpus, and rare words are known wherever they occur twice."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    follow = {w: rng.sample(vocabulary, 3) for w in vocabulary}
+
+    def walk(n):
+        out = [rng.choice(vocabulary)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(walk(120)), f"l{i % 20}") for i in range(600)]
+    for i in range(20):
+        words = walk(120)
+        rng.shuffle(words)
+        rows.append((1000 + i, " ".join(words), f"l{i}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["log_perplexity"] for r in quality.rate(spark, docs).collect()}
+    for i in range(20):  # each of 20 languages, most beyond the slots, has words of its own
+        assert got[1000 + i] > max(got[k] for k in range(600) if k % 20 == i)
+
+
+def test_word_counts_against_brute_force(spark):
+    docs = odd.documents(spark).where("length(text) < 100000")
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()]
+    slots = quality.slots_of(docs, 16)
+    lm = quality.train(docs, slots)
+    uni, pair, n = Counter(), Counter(), Counter()
+    for _, t, l in rows:
+        w = [None, *WORD.findall(t)]
+        uni.update((l, x) for x in w if len(w) > 1)  # a text without words starts none
+        pair.update((l, *x) for x in zip(w, w[1:]))
+        n[l] += len(w) - 1
+
+    def want(t, l):
+        codes, _ = quality.packed([t], quality._classes())
+        price, total = lm.log_p(slots[l], codes), 0.0
+        w = [None, *WORD.findall(t)]
+        u, b = Counter(w), Counter(zip(w, w[1:]))
+        total = sum(price[i] for i, c in enumerate(t) if not WORD.match(c))
+        for m, before in zip(WORD.finditer(t), w):
+            x, others = m[0], n[l] - len(w) + 1
+            p = exp(sum(price[m.start() : m.end()]))
+            if others:
+                p = 0.01 * p + 0.99 * (uni[l, x] - u[x]) / others
+            total += log((pair[l, before, x] - b[before, x] + 32 * p) / (uni[l, before] - u[before] + 32))
+        return -total / len(t)
+
+    plain = [(d, t, l) for d, t, l in rows if t.isascii()]
+    for part_bytes in (1 << 11, 16 << 20):
+        got = sorted((r["doc_id"] or -1, r["lang"] or "", r["log_perplexity"] or 0.0) for r in quality.score(spark, docs, lm, slots, part_bytes).collect() if r["doc_id"] != 65)
+        brute = sorted((d or -1, l or "", want(t, l) if t else 0.0) for d, t, l in plain)
+        assert [x[:2] for x in got] == [x[:2] for x in brute]
+        assert np.allclose([x[2] for x in got], [x[2] for x in brute], atol=1e-6)
+
+
 # --- 3: HTML --------------------------------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies, many.</div>
 <nav><ul><li><a href=/>Home</a></li></ul></nav><div class="layout"><div class="sidebar"><p>Side text, here. And more.</p></div><div class="post"><h2>Title &amp; more</h2>

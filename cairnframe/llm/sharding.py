@@ -59,7 +59,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, bundles: int =
     if not total[2]:
         total = (0, 0, 0)
     limit = [t / (per_shard * shards) for t in total]
-    heavy_if = (F.col("bytes") > limit[0]) | (F.col("tokens") > limit[1]) | (F.col("n_rows") > limit[2]) if total[2] >= bundles else F.lit(False)
+    heavy_if = (F.col("bytes") > limit[0]) | (F.col("tokens") > limit[1]) | (F.col("n_rows") > limit[2])
     heavy = groups.where(heavy_if).collect()  # at most 3 * per_shard * shards rows
     light = groups.where(~heavy_if).groupBy("item").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("n_rows").alias("n_rows")).collect()  # at most `bundles` rows
 

@@ -407,6 +407,15 @@ def test_shards_with_one_hot_group(spark):
     assert out.selectExpr("count(*)", "count(distinct shard, slot)").first() == (20_000, 20_000)
 
 
+@pytest.mark.parametrize("n", [600, 5_000])
+def test_small_tables_deal_a_hot_group(spark, n):
+    docs = spark.range(n).selectExpr("id doc_id", "if(id % 3 = 0, 'a text that a third of all rows share', concat('a text that only one row has: ', 10000 + id)) text")
+    out = sharding.shard(spark, docs, shards=8)
+    sums = [r[1] for r in out.groupBy("shard").sum("size").collect()]
+    assert len(sums) == 8 and max(sums) < 1.05 * min(sums)
+    assert out.selectExpr("count(*)", "count(distinct shard, slot)").first() == (n, n)
+
+
 # --- 10: personal data ----------------------------------------------------------------------------------------------
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0

@@ -189,6 +189,30 @@ def sort_utf8_dropped_key(spark, sf_dir):
     return f.select("o_orderkey", "o_orderpriority").head(40).to_spark()
 
 
+# The same sorts without their limits: every row, nulls at the end.
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS price FROM orders ORDER BY price NULLS LAST, o_orderkey")
+def sort_asc_nulls_last_whole(spark, sf_dir):
+    f = _nullable(spark, sf_dir, "orders", {"price": "case when o_orderstatus = 'F' then null else o_totalprice end"}, ["o_orderkey"])
+    return f.sort("o_orderkey").sort("price").to_spark(ordered_rows=True)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS price FROM orders ORDER BY price DESC NULLS LAST, o_orderkey")
+def sort_desc_nulls_last_whole(spark, sf_dir):
+    f = _nullable(spark, sf_dir, "orders", {"price": "case when o_orderstatus = 'F' then null else o_totalprice end"}, ["o_orderkey"])
+    return f.sort("o_orderkey").sort("price", descending=True).to_spark(ordered_rows=True)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey")
+def sort_stable_chain_whole(spark, sf_dir):
+    return _scan(spark, sf_dir, "orders", ordered=True).select("o_custkey", "o_orderkey").sort("o_orderkey").sort("o_custkey").to_spark(ordered_rows=True)
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey")
+def sort_utf8_dropped_key_whole(spark, sf_dir):
+    f = _scan(spark, sf_dir, "orders", ordered=True).sort("o_orderkey").sort("o_orderpriority", descending=True)
+    return f.select("o_orderkey", "o_orderpriority").to_spark(ordered_rows=True)
+
+
 @query("SELECT event_type, user_id, event_id FROM events ORDER BY event_type, user_id DESC, event_id")
 def sort_events(spark, sf_dir):
     f = _scan(spark, sf_dir, "events", ordered=True).select("event_type", "user_id", "event_id")

@@ -41,6 +41,16 @@ def test_order_of_the_flagship(spark):
     assert prices == sorted(prices, reverse=True) and len(prices) > 100
 
 
+@pytest.mark.parametrize("name", ["sort_asc_nulls_last_whole", "sort_desc_nulls_last_whole", "sort_stable_chain_whole", "sort_utf8_dropped_key_whole"])
+def test_whole_sorts_keep_every_row_in_order(name, spark, duck):
+    df = catalogue.queries()[name](spark, SF)
+    want = duck.sql(catalogue.oracle_sql()[name])
+    got = [tuple(r) for r in df.select(*want.columns).collect()]
+    assert got == want.fetchall() and len(got) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    if "nulls" in name:
+        assert got[-1][1] is None
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

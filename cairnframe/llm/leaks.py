@@ -1,16 +1,16 @@
 """Benchmark decontamination with SimHash windows.
 
-An item's words make shingles of `shingle` words (a shorter item is one shingle), weighted by how often they occur in it. For each item
-length, a document's windows of that many words are candidates. Each has a SimHash of 64 bits over its weighted shingles; a window is
-compared with every item of its length whose fingerprint lies within `radius`, which multi-index blocks guarantee: the bits form
+An item's words make shingles of `shingle` words (a shorter item is one shingle), weighted by how often they occur in it. For each item,
+a document's windows of about its length are candidates. Each has a SimHash of 64 bits over its weighted shingles; a window is
+compared with the item if its fingerprint lies within `radius`, which multi-index blocks guarantee: the bits form
 `blocks` blocks, two fingerprints within the radius agree in some block up to radius // blocks bits, and a table of each block's
 values lists the items for all values that near. What the fingerprints pass is verified by weighted Jaccard similarity of the
 shingles, exactly; a document leaks an item if the best window reaches `similarity`.
 
 Windows are only fingerprinted where they can be similar at all: weighted similarity s needs shared weight of at least
 2 s / (1 + s) of an item's shingles, so runs of positions that share fewer shingles with the item are passed over; this loses
-nothing. A window may also be an item's length plus or minus `slack` of it (an edit may add or drop words): similarity is taken
-for the best of these lengths.
+nothing. Windows of all lengths that can be similar are tried (an edit may add or drop words): similarity s needs a window of s to 1 / s
+times the item's shingles, and is taken for the best of these lengths.
 
 Text is compared in lower case (A-Z), as words without the blanks between them. The items are broadcast only while their texts
 hold at most `most_bytes`; beyond that they are taken in blocks of that size, one pass over the documents for each.
@@ -89,7 +89,7 @@ class Items:
             at += w
         return {n for n in found if (int(self.prints[n]) ^ fingerprint).bit_count() <= self.radius}
 
-    def leaked(self, texts: pa.Array, least: float, slack: float) -> list[dict[int, tuple[float, int, int]]]:
+    def leaked(self, texts: pa.Array, least: float) -> list[dict[int, tuple[float, int, int]]]:
         """For each text: item -> (similarity, first word, words) of the best window."""
         best: list[dict] = [{} for _ in range(len(texts))]
         h, starts = hashed_words(texts, lower=True)
@@ -108,21 +108,17 @@ class Items:
                         places.setdefault((d, n), []).append(p)
             for (d, n), where in places.items():
                 a, b = int(starts[d]), int(starts[d + 1])
-                if found := self._best(n, s[a : b - k + 1], np.array(where) - a, k, least, slack):
+                if found := self._best(n, s[a : b - k + 1], np.array(where) - a, k, least):
                     best[d][n] = found
         return best
 
-    def _best(self, n: int, s: np.ndarray, where: np.ndarray, k: int, least: float, slack: float):
+    def _best(self, n: int, s: np.ndarray, where: np.ndarray, k: int, least: float):
         size, total = int(self.lengths[n]), int(self.lengths[n]) - k + 1
         found = None
         tried: set[tuple[int, int]] = set()
-        spare = int(size * slack)
-        for words in sorted(range(max(k, size - spare), size + spare + 1), key=lambda w: (abs(w - size), w)):
+        fewest, most = int(np.ceil(least * total - 1e-9)), int(np.floor(total / least + 1e-9))
+        for words in sorted(range(max(1, fewest) + k - 1, min(most, len(s)) + k), key=lambda w: (abs(w - size), w)):
             m = words - k + 1  # shingles of a window
-            if m > len(s):
-                m, words = len(s), len(s) + k - 1
-                if (0, words) in tried:
-                    continue
             need = int(np.ceil(least / (1 + least) * (m + total) - 1e-9))
             # A window that begins at a shared shingle, or ends with one, is as good as any around it.
             begins = np.unique(np.clip(np.concatenate([where, where - m + 1]), 0, len(s) - m))
@@ -156,7 +152,7 @@ def _item_blocks(items: DataFrame, most_bytes: int):
     yield block
 
 
-def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, slack: float = 0.1, most_bytes: int = 32 << 20) -> DataFrame:
+def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, most_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words for each item that a row of docs (doc_id, text) leaks."""
     rows, out = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), None
     for block in _item_blocks(items, most_bytes):
@@ -166,7 +162,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int =
             known = sent.value
             for b in slices(batches):
                 found = []
-                for i, leaked in zip(b.column(0).to_pylist(), known.leaked(b.column(1), least, slack)):
+                for i, leaked in zip(b.column(0).to_pylist(), known.leaked(b.column(1), least)):
                     for n, (v, at, size) in leaked.items():
                         found += [(i, item, v, at, size) for item in known.ids[n]]
                 yield batch(FOUND, **{name: [r[k] for r in found] for k, name in enumerate(FOUND.names)})
@@ -176,7 +172,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int =
     return out
 
 
-def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, slack: float = 0.1, most_bytes: int = 32 << 20) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, most_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs that leak no item. All columns stay."""
     for block in _item_blocks(items, most_bytes):
         sent, schema = spark.sparkContext.broadcast(Items(block, shingle, radius, blocks)), docs.schema
@@ -184,7 +180,7 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "t
         def run(batches, sent=sent):
             known = sent.value
             for b in slices(batches, text=text):
-                kept = [not leaked for leaked in known.leaked(b.column(b.schema.get_field_index(text)), least, slack)]
+                kept = [not leaked for leaked in known.leaked(b.column(b.schema.get_field_index(text)), least)]
                 yield b.filter(pa.array(kept, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

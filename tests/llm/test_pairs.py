@@ -218,6 +218,40 @@ def test_leaks(spark):
     assert leaks.leaks(spark, docs, bench.limit(0)).count() == 0 and leaks.leaks(spark, docs.limit(0), bench).count() == 0
 
 
+def brute_all_windows(t, item, least=0.8):
+    words, own = WORD.findall(lower(t)), WORD.findall(lower(item))
+    k = min(5, len(own))
+    a, s = Counter(tuple(own[n : n + k]) for n in range(len(own) - k + 1)), [tuple(words[n : n + k]) for n in range(len(words) - k + 1)]
+    best = 0.0
+    for b in range(len(s)):
+        w, shared = Counter(), 0
+        for m, x in enumerate(s[b:], 1):
+            shared += w[x] < a[x]
+            w[x] += 1
+            best = max(best, shared / (sum(a.values()) + m - shared))
+    return best if best >= least else None
+
+
+def test_leaks_of_every_length(spark):
+    import random
+
+    rng = random.Random(6)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    items, rows = [], []
+    for i, (size, keep, added) in enumerate([(30, 25, 0), (30, 24, 0), (100, 82, 0), (104, 104, 15), (104, 104, 25), (9, 8, 0), (7, 7, 0)]):
+        own = fresh(size)
+        items.append((i, " ".join(own)))
+        body = own[:keep]
+        body[keep // 2 : keep // 2] = fresh(added)
+        rows.append((i, " ".join(fresh(50) + body + fresh(50))))
+        rows.append((100 + i, " ".join(body)))
+    want = {(d, i): v for d, t in rows for i, item in items if (v := brute_all_windows(t, item))}
+    found = leaks.leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found}
+    assert {(0, 0), (2, 2), (3, 3)} <= want.keys() and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_multi_index_finds_all_within_the_radius():
     import random
 

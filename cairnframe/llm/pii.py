@@ -4,7 +4,8 @@ Each text is searched twice. The base detectors read it as it is. Then a cascade
 output character the span of source characters it stands for: homoglyphs and full-width forms become ASCII, invisible
 characters vanish, spelled digits become digits, and at/dot disguises become @ and '.'. The same detectors read the rewritten
 text, and their spans are mapped back to the source. A mapped span is added if no span of its kind overlaps it already and the
-transducers changed something inside it, so base spans always stay.
+transducers changed something inside it, so base spans always stay. A bare "at" before plain dots is read as a sign only after a name
+with an inner dot, underscore or plus: `jane at example.com` has no span, since prose says "see us at example.com" ("arroba" is always read).
 
 Defined results: null and empty texts have no spans; repeated rows are separate rows; other columns are ignored; rows of a
 null doc_id are kept. Texts are read whole. Offsets are code points, ends are exclusive.
@@ -50,7 +51,8 @@ _NUMERAL = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: Three or more numerals in a row (digits may stand among them), so that a lone "one" stays a word.
 SPELLED = re.compile(rf"(?<![^\W\d_])(?:(?:{_NUMERAL})|[0-9])(?:[\x20.,()+-]{{0,3}}(?:(?:{_NUMERAL})(?![^\W\d_])|[0-9]))" r"{2,}", re.I)
 TOKEN = re.compile(rf"(?:{_NUMERAL})(?![^\W\d_])|[0-9]", re.I)
-#: An address with a spelled at: bracketed anywhere, or bare where a spelled or plain dot and a label follow.
+#: An address with a spelled at: bracketed anywhere, or bare where a spelled dot and a label follow. With plain dots only, "at" is mostly a
+#: word ("see us at example.com"); it is read as a sign after a name with an inner dot, underscore or plus, "arroba" after any.
 AT = re.compile(r"[\x20\t]*[\[({<]\s*(?:at|ät|arroba|chez|@)\s*[\])}>][\x20\t]*", re.I)
 DOT = re.compile(r"[\x20\t]*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>][\x20\t]*", re.I)
 BARE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z0-9._%+-]+)([\x20\t]+(?:at|arroba)[\x20\t]+|[\x20\t]*@[\x20\t]*)([A-Za-z0-9-]+(?:(?:[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+|\.)[A-Za-z0-9-]+)+)", re.I)
@@ -60,6 +62,9 @@ BARE_DOT = re.compile(r"[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+", re.I)
 #: A text that none of these finds is its own normal form.
 BRACKETED = re.compile(r"[\[({<]\s*(?:at|ät|arroba|chez|@|dot|punkt|punto|point|\.)\s*[\])}>]", re.I)
 SPACED_AT = re.compile(r"[\x20\t]@|@[\x20\t]")
+PLAIN_AT = re.compile(r"[\x20\t](?:at|arroba)[\x20\t]+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2}", re.I)
+NAME = re.compile(r"[A-Za-z0-9%-]+(?:[._+][A-Za-z0-9%-]+)+")
+DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}")
 SPOKEN_DOT = re.compile(r"[\x20\t](?:dot|punkt|punto|point)[\x20\t]", re.I)
 UNUSUAL = re.compile(r"[^\x00-\x7FÀ-İĲ-ɏ]")
 #: A numeral before a separator and a digit or numeral. It begins at the separator's right, where few places fit.
@@ -72,6 +77,7 @@ def disguised(text: str) -> bool:
         or BRACKETED.search(text)
         or "@" in text and SPACED_AT.search(text)
         or SPOKEN_DOT.search(text)
+        or PLAIN_AT.search(text)
         or SPELLED_TRIGGER.search(text) and SPELLED.search(text)
     )
 
@@ -174,7 +180,8 @@ def normalise(text: str) -> Tape:
     for m in BARE.finditer(tape.text):
         spelled = not m[2].strip().startswith("@")
         dots = [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in BARE_DOT.finditer(m[3])]
-        if dots or not spelled and m[2] != "@":  # "at" alone is a word; a spelled dot shows the disguise
+        plain = DOMAIN.fullmatch(m[3]) and (m[2].strip().lower() == "arroba" or NAME.fullmatch(m[1]))
+        if dots or not spelled and m[2] != "@" or spelled and plain:  # "at" alone is a word; a spelled dot or such a name shows the disguise
             edits.append((m.start(2), m.end(2), "@"))
             edits += dots
     tape.rewrite(edits)

@@ -471,6 +471,18 @@ def test_disguises(text, kind, found):
     assert [text[a:b] for a, b in every[kind]] == ([found] if found else [])
 
 
+def test_spelled_at_with_plain_dots():
+    for t, want in (
+        ("write to jane.doe at example.com today", "jane.doe at example.com"),
+        ("mail jane arroba example.es, please", "jane arroba example.es"),
+        ("J_Doe+x AT mail.example.org.", "J_Doe+x AT mail.example.org"),
+        ("see us at example.com or meet me at noon.", None),
+        ("the U.S. at large. It cost 3.5 at 7.30", None),
+    ):
+        base, every = pii.spans(t)
+        assert not base["email"] and [t[a:b] for a, b in every["email"]] == ([want] if want else [])
+
+
 def test_redaction_and_tables(spark):
     docs = odd.documents(spark)
     out = pii.redact(docs)

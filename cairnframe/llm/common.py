@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -139,6 +141,29 @@ def hashed_words(texts: pa.Array, lower: bool = False, most_bytes: int = 1 << 20
     return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(starts)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and stages share an executor."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def tidy(run):
+    """run, a function over batches, that gives memory back when its partition ends."""
+
+    def to_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return to_the_end
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
 

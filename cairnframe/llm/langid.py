@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, batch, mix, slices
+from .common import Stored, batch, mix, slices, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4, 5)
@@ -155,7 +155,7 @@ def learn(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str =
         yield from flush()
 
     store = Stored(spark, "langid")
-    counts = store.write(docs.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = store.write(docs.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).limit(most_languages + 1).collect()}
     if len(totals) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
@@ -183,7 +183,7 @@ def predict(spark: SparkSession, docs: DataFrame, filters: Filters, orders=ORDER
             found = reader.decide(b.column(1).to_pylist())
             yield batch(PREDICTED, doc_id=b.column(0), lang_pred=[x for x, _ in found], score=[s for _, s in found])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep(spark: SparkSession, docs: DataFrame, filters: Filters, least: float = 0.2, text: str = "text", orders=ORDERS) -> DataFrame:
@@ -196,7 +196,7 @@ def keep(spark: SparkSession, docs: DataFrame, filters: Filters, least: float =
             found = [language != "und" and score >= least for language, score in reader.decide(b.column(b.schema.get_field_index(text)).to_pylist())]
             yield b.filter(pa.array(found, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out() -> Column:

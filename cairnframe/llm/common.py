@@ -164,6 +164,19 @@ def tidy(run):
     return to_the_end
 
 
+#: Bytes of an Arrow batch, unless the session names another size: rows may be long, and a batch is held by the JVM and by Python.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) on small batches, with memory given back at the end of each partition."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT), "64m"):
+        conf.set(_BATCH_CONF, BATCH_BYTES)
+    return df.mapInArrow(tidy(run), schema)
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
 

@@ -24,7 +24,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, slices, tidy
+from .common import batch, mapped, slices
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>?|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -269,4 +269,4 @@ def extract_pages(pages: DataFrame, threshold: float = 0.25) -> DataFrame:
             texts = [extract(h, threshold).encode("utf-8", "replace").decode() for h in b.column(2).to_pylist()]
             yield batch(EXTRACTED, page_id=b.column(0), url=b.column(1), text=texts, n_chars=list(map(len, texts)))
 
-    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
+    return mapped(pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html"), run, "page_id long, url string, text string, n_chars long")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, batch, hashed_words, mix, pieces, slices, tidy, unused, windows
+from .common import Stored, batch, hashed_words, mapped, mix, pieces, slices, unused, windows
 
 LEAST_BITS = 1024
 
@@ -177,7 +177,7 @@ def _first_pass(docs: DataFrame, k: int, least_local: int) -> DataFrame:
         if held:
             yield often()
 
-    return docs.mapInArrow(tidy(run), "kind int, doc_id long, key long, n long, bitmap binary")
+    return mapped(docs, run, "kind int, doc_id long, key long, n long, bitmap binary")
 
 
 BLOB = "bucket int, data binary"
@@ -230,7 +230,7 @@ def _prefixes(docs: DataFrame, k: int, common, buckets: int) -> DataFrame:
                 data.append(_pack(token[mine], node[mine], code[mine]))
             yield batch(BLOB_SCHEMA, bucket=np.array(to, np.int32), data=data)
 
-    return docs.mapInArrow(tidy(run), BLOB)
+    return mapped(docs, run, BLOB)
 
 
 #: Groups of at least so many nodes get candidates in so many random orders as well.
@@ -297,7 +297,7 @@ def _groups(blobs: DataFrame, block: int) -> DataFrame:
         if held:
             yield from settle(bucket)
 
-    return blobs.mapInArrow(tidy(run), "kind int, bucket long, a long, b long, size long")
+    return mapped(blobs, run, "kind int, bucket long, a long, b long, size long")
 
 
 def _needed(group: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -356,7 +356,7 @@ def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
             data = [s[ends[d] - sizes[d] : ends[d]].view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes() for d in chosen]
             yield batch(SETS, node=prints[chosen].view(np.int64), size=sizes[chosen].astype(np.int64), data=data)
 
-    return docs.mapInArrow(tidy(run), "node long, size long, data binary")
+    return mapped(docs, run, "node long, size long, data binary")
 
 
 def _set_of(data: bytes) -> np.ndarray:
@@ -383,7 +383,7 @@ def _bloom(spark: SparkSession, nodes: DataFrame, words: int = 1 << 20) -> np.nd
             for word, mask in _bloom_places(n, words):
                 yield batch(schema, word=word, mask=mask.view(np.int64))
 
-    found = nodes.mapInArrow(tidy(run), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    found = mapped(nodes, run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     bits = np.zeros(words, np.uint64)
     bits[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
     return bits
@@ -418,7 +418,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             ok = pa.array(ok)
             yield batch(schema, a=b.column(0).filter(ok), b=b.column(1).filter(ok))
 
-    return _sided(pairs, nodes, "size", "bitmap").mapInArrow(tidy(run), "a long, b long")
+    return mapped(_sided(pairs, nodes, "size", "bitmap"), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -433,7 +433,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = pa.array(ok, pa.bool_())
             yield batch(schema, a=a.filter(ok), b=b.filter(ok))
 
-    return _sided(pairs, sets, "size", "data").mapInArrow(tidy(run), "a long, b long")
+    return mapped(_sided(pairs, sets, "size", "data"), run, "a long, b long")
 
 
 def components(spark: SparkSession, links: DataFrame, store: Stored) -> DataFrame:
@@ -524,7 +524,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
             prints = fingerprints(s, doc, b.num_rows)[1].view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, schema.field(0).type)], names=[*b.schema.names, node])
 
-    tagged = docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
+    tagged = mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
     full = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"), "node")).alias("least"))
     keep = found.where("n_shingles > 0").join(full, "component").where("coalesce(doc_id, 9223372036854775807) = least.d and node = least.node")
     keep = keep.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
@@ -595,4 +595,4 @@ def _tree_pairs(groups: DataFrame, nodes: DataFrame, found: DataFrame, buckets:
         if held:
             yield from settle()
 
-    return items.repartition(buckets, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(tidy(run), "a long, b long")
+    return mapped(items.repartition(buckets, "g", "i", "j").sortWithinPartitions("g", "i", "j"), run, "a long, b long")

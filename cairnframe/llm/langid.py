@@ -12,13 +12,14 @@ its margin over the runner-up, at most 1.
 Words are runs of letters in lower case; the n-grams of `orders` characters are those of each word with a blank at either end, over
 whole texts.
 
-Defined results: a null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned; rows with a
+Defined results: a null text, or one without a letter (Unicode category L; numerals such as ½ are none), is `und` with score 0, as is every text if nothing was learned; rows with a
 null language teach nothing; repeated rows are separate rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -26,16 +27,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, batch, mix, slices, tidy
+from .common import Stored, batch, mapped, mix, slices
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of word characters; those that Unicode doesn't file under letters (numerals such as ½, ² and Ⅷ) are taken out below.
+RUNS = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4, 5)
 #: Words whose n-grams are in memory at a time.
 BLOCK = 25_000
 
 
+def _numerals() -> str:
+    return "".join(c for c in map(chr, range(0x110000)) if RUNS.match(c) and not unicodedata.category(c).startswith("L"))
+
+
+NUMERAL = re.compile(f"[{re.escape(_numerals())}]+")
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L), in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    return RUNS.findall(text if text.isascii() else NUMERAL.sub(" ", text))
 
 
 def grams(words: list[str], orders=ORDERS) -> tuple[np.ndarray, np.ndarray]:
@@ -155,18 +168,18 @@ def learn(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str =
         yield from flush()
 
     store = Stored(spark, "langid")
-    counts = store.write(docs.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = store.write(mapped(docs, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).limit(most_languages + 1).collect()}
     if len(totals) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     languages = sorted(totals)
     filters = Filters(languages, rows, hashes)
     if languages:
-        limits = spark.createDataFrame([(k, share * n) for k, n in totals.items()], "lang string, least double")
-        kept = counts.join(F.broadcast(limits), "lang").where(F.col("n") >= F.greatest("least", F.lit(2.0))).select("lang", "gram").toArrow()
-        names, gram = np.asarray(kept.column("lang").to_pylist(), object), kept.column("gram").to_numpy().view(np.uint64)
-        for k, name in enumerate(languages):
-            filters.add(k, gram[names == name])
+        limits = spark.createDataFrame([(name, k, share * totals[name]) for k, name in enumerate(languages)], "lang string, k int, least double")
+        kept = counts.join(F.broadcast(limits), "lang").where(F.col("n") >= F.greatest("least", F.lit(2.0))).select("k", "gram").toArrow()
+        of, gram = kept.column("k").to_numpy(), kept.column("gram").to_numpy().view(np.uint64)
+        for k in range(len(languages)):
+            filters.add(k, gram[of == k])
     return filters.close()
 
 
@@ -183,7 +196,7 @@ def predict(spark: SparkSession, docs: DataFrame, filters: Filters, orders=ORDER
             found = reader.decide(b.column(1).to_pylist())
             yield batch(PREDICTED, doc_id=b.column(0), lang_pred=[x for x, _ in found], score=[s for _, s in found])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
+    return mapped(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, "doc_id long, lang_pred string, score double")
 
 
 def keep(spark: SparkSession, docs: DataFrame, filters: Filters, least: float = 0.2, text: str = "text", orders=ORDERS) -> DataFrame:
@@ -196,7 +209,7 @@ def keep(spark: SparkSession, docs: DataFrame, filters: Filters, least: float =
             found = [language != "und" and score >= least for language, score in reader.decide(b.column(b.schema.get_field_index(text)).to_pylist())]
             yield b.filter(pa.array(found, pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return mapped(docs, run, schema)
 
 
 def held_out() -> Column:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, hashed_words, mix, slices, tidy, windows
+from .common import batch, hashed_words, mapped, mix, slices, windows
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return windows(h, min(k, len(h))) if len(h) else np.empty(0, np.uint64)
@@ -167,7 +167,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int =
                         found += [(i, item, v, at, size) for item in known.ids[n]]
                 yield batch(FOUND, **{name: [r[k] for r in found] for k, name in enumerate(FOUND.names)})
 
-        part = rows.mapInArrow(tidy(run), "doc_id long, item_id long, similarity double, start long, n_words long")
+        part = mapped(rows, run, "doc_id long, item_id long, similarity double, start long, n_words long")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -183,5 +183,5 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "t
                 kept = [not leaked for leaked in known.leaked(b.column(b.schema.get_field_index(text)), least)]
                 yield b.filter(pa.array(kept, pa.bool_()))
 
-        docs = docs.mapInArrow(tidy(run), schema)
+        docs = mapped(docs, run, schema)
     return docs

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices, tidy, unused
+from .common import mapped, slices, unused
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -292,4 +292,4 @@ def encode(spark: SparkSession, docs: DataFrame, model: bytes, keep: list[str] |
 
     b_text = source.columns[-1]
     schema = source.select(*source.columns[:-1]).schema.add(added[0], T.LongType()).add(added[1], T.ArrayType(T.IntegerType())).add(added[2], T.StringType())
-    return source.mapInArrow(tidy(run), schema)
+    return mapped(source, run, schema)

@@ -20,7 +20,7 @@ from bisect import bisect_left, bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, slices, tidy
+from .common import batch, mapped, slices
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -235,7 +235,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield batch(SPANS, **columns)
 
     schema = "doc_id long, " + ", ".join(f"{w}_{k} array<long>" for w in ("base", "all") for k in KINDS)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(run), schema)
+    return mapped(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, schema)
 
 
 def redact_text(text: str) -> str:
@@ -266,4 +266,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = [t and redact_text(t) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return mapped(docs, run, schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, WORD, Stored, batch, mix, powers, slices, tidy
+from .common import ODD, WORD, Stored, batch, mapped, mix, powers, slices
 
 ORDER, BITS = 4, 5
 #: The weight of a word's own probability after another, in pairs, and that of its spelling in its own probability.
@@ -116,7 +116,7 @@ def count(docs: DataFrame, slots: Slots, text: str = "text", lang: str = "lang")
             at = np.flatnonzero(n)
             yield batch(schema, slot=np.full(len(at), s, np.int32), code=at.astype(np.int32), n=n[at])
 
-    found = docs.selectExpr(f"cast(`{text}` as string) text", f"cast(`{lang}` as string) lang").mapInArrow(tidy(run), "slot int, code int, n long")
+    found = mapped(docs.selectExpr(f"cast(`{text}` as string) text", f"cast(`{lang}` as string) lang"), run, "slot int, code int, n long")
     return found.groupBy("slot", "code").agg(F.sum("n").alias("n"))
 
 

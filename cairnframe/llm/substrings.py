@@ -25,7 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, hashed_words, pieces, slices, tidy, windows
+from .common import batch, hashed_words, mapped, pieces, slices, windows
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -264,10 +264,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, seed:
         if rows["doc_id"]:
             yield batch(result, **rows)
 
-    sent = rows.mapInArrow(tidy(anchors), ROW_SQL)
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), ROW_SQL)
-    both = found.unionAll(rows.mapInArrow(tidy(texts_of), ROW_SQL))
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(tidy(cut_out), "doc_id long, n_words long, n_removed long, kept string")
+    sent = mapped(rows, anchors, ROW_SQL)
+    found = mapped(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), meet, ROW_SQL)
+    both = found.unionAll(mapped(rows, texts_of, ROW_SQL))
+    return mapped(both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind"), cut_out, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def _by_document(found: list[list[np.ndarray]]):

@@ -285,6 +285,11 @@ def test_grams():
     assert set(g.tolist()) == set(again.tolist()) and len(set(g.tolist())) == 8
 
 
+def test_letters_are_of_category_l():
+    assert langid.words_of("½ ² Ⅷ ① 12 _ !") == []
+    assert langid.words_of("x² Ab½c Ünï 漢字") == ["x", "ab", "c", "ünï", "漢字"]
+
+
 def test_filters_are_bit_sliced_bloom_filters():
     f = langid.Filters([f"l{i:03}" for i in range(70)], 4096, 3)
     rng = np.random.default_rng(1)

@@ -1,19 +1,24 @@
 """Benchmark decontamination with SimHash windows.
 
-An item's words make shingles of `shingle` words (a shorter item is one shingle), weighted by how often they occur in it. For each item,
-a document's windows of about its length are candidates. Each has a SimHash of 64 bits over its weighted shingles; a window is
-compared with the item if its fingerprint lies within `radius`, which multi-index blocks guarantee: the bits form
-`blocks` blocks, two fingerprints within the radius agree in some block up to radius // blocks bits, and a table of each block's
-values lists the items for all values that near. What the fingerprints pass is verified by weighted Jaccard similarity of the
-shingles, exactly; a document leaks an item if the best window reaches `similarity`.
-
-Windows are only fingerprinted where they can be similar at all: weighted similarity s needs shared weight of at least
-2 s / (1 + s) of an item's shingles, so runs of positions that share fewer shingles with the item are passed over; this loses
-nothing. Windows of all lengths that can be similar are tried (an edit may add or drop words): similarity s needs a window of s to 1 / s
-times the item's shingles, and is taken for the best of these lengths.
-
-Text is compared in lower case (A-Z), as words without the blanks between them. The items are broadcast only while their texts
-hold at most `most_bytes`; beyond that they are taken in blocks of that size, one pass over the documents for each.
+An item's words make shingles of `shingle` words (a shorter item is one shingle), weighted by how often they occur in it. An item and a
+window of a document's words are similar by the weighted Jaccard similarity of their shingles; a document leaks an item if a window
+reaches `least`.
+
+1. Windows. All lengths that can be similar to an item are taken (from `least` times its shingles to as many divided by `least`: an edit
+   may add or drop words). A window is passed over if fewer than `least` of its shingles occur in any item, or if its first or last one
+   occurs in none: it can't be similar, or the window without that shingle is more so. This loses nothing.
+2. Each window gets a SimHash of 128 bits over its weighted shingles, and the multi-index names the items for it: the bits form `blocks`
+   blocks, and two fingerprints within `radius` agree in some block up to radius // blocks bits, so looking up each block's value and all values
+   that near finds every item within the radius, and no other way leads to an item.
+3. What the index names is verified by the exact similarity; the best window counts, the first and shortest of equals.
+
+The one place where a similar window may be lost is the radius. Fingerprints of similarity 0.8 differ in about 19 of 128 bits (standard
+deviation 4; about 24 in items of five shingles, since ties are frequent there), and a leak has many windows, so a radius of 32
+loses next to none; tests measure it.
+
+Text is compared in lower case (A-Z), as words without the blanks between them. An item costs about 12 bytes for each shingle and 16 for its
+fingerprint, 4 for each block. The items are broadcast only while their texts hold at most `most_bytes`; beyond that they are taken in blocks of
+that size, one pass over the documents for each.
 
 Defined results: null and empty texts leak nothing, null or empty items are leaked by nothing; repeated items are reported for each
 item_id; repeated rows of documents are reported for each row; other columns are ignored.
@@ -21,7 +26,6 @@ item_id; repeated rows of documents are reported for each row; other columns are
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -30,111 +34,162 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch, hashed_words, mapped, mix, slices, windows
 
-def shingles(h: np.ndarray, k: int) -> np.ndarray:
-    return windows(h, min(k, len(h))) if len(h) else np.empty(0, np.uint64)
-
-
-def simhash(s: np.ndarray) -> int:
-    """Of shingle hashes, each as often as it occurs."""
-    bits = (mix(s ^ np.uint64(0x5851F42D4C957F2D))[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    return int(np.packbits(2 * bits.sum(0) > len(s)).view(">u8")[0])
+BITS = 128
+_SALTS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x2127599BF4325C37))
+
+
+def simhashes(s: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 8192) -> np.ndarray:
+    """A row of BITS booleans for each run of shingles s[begin : begin + size]; begin ascends."""
+    out = np.zeros((len(begin), BITS), bool)
+    i = 0
+    while i < len(begin):  # runs that begin within `most` places
+        j = int(np.searchsorted(begin, begin[i] + most))
+        lo, hi = int(begin[i]), int((begin[i:j] + size[i:j]).max())
+        hashes = np.stack([mix(s[lo:hi] ^ salt) for salt in _SALTS], 1)
+        ones = np.zeros((hi - lo + 1, BITS), np.int32)
+        np.cumsum(np.unpackbits(hashes.view(np.uint8), axis=1), axis=0, dtype=np.int32, out=ones[1:])
+        for k in range(i, j, most):
+            b, n = begin[k : min(k + most, j)] - lo, size[k : min(k + most, j)]
+            out[k : k + len(b)] = 2 * (ones[b + n] - ones[b]) > n[:, None]
+        i = j
+    return out
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    shared = sum((a & b).values())
-    return shared / (sum(a.values()) + sum(b.values()) - shared)
+class Index:
+    """Items whose shingles have `width` words: the shingles with their weights, and fingerprints in multi-index Hamming blocks."""
+
+    def __init__(self, sets: list[np.ndarray], radius: int, blocks: int):
+        self.radius = radius
+        self.total = np.array([len(s) for s in sets], np.int64)
+        every, item = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.total)
+        ends = np.cumsum(self.total)
+        bits = simhashes(every, ends - self.total, self.total)
+        self.prints = np.packbits(bits, axis=1).view(np.uint64)
+        order = np.lexsort((every, item))
+        every, item = every[order], item[order]
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = (every[1:] != every[:-1]) | (item[1:] != item[:-1])
+        at = np.flatnonzero(fresh)
+        self.shingles, self.weights = every[at], np.diff(np.append(at, len(every))).astype(np.int32)
+        self.first = np.searchsorted(item[at], np.arange(len(sets) + 1))
+        self.known = np.unique(every)
+        edges = [BITS * k // blocks for k in range(blocks + 1)]
+        self.blocks = []  # of each: from, to, flips of up to radius // blocks bits, where each value's items begin, items by value
+        for a, b in zip(edges, edges[1:]):
+            flips = [sum(1 << x for x in c) for r in range(radius // blocks + 1) for c in combinations(range(b - a), r)]
+            value = self._values(bits, a, b)
+            by = np.argsort(value, kind="stable")
+            self.blocks.append((a, b, np.array(flips, np.int32), np.searchsorted(value[by], np.arange((1 << b - a) + 1)).astype(np.int32), by.astype(np.int32)))
+
+    @staticmethod
+    def _values(bits: np.ndarray, a: int, b: int) -> np.ndarray:
+        return bits[:, a:b] @ (1 << np.arange(b - a, dtype=np.int32))
+
+    def within(self, bits: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """(row of bits, item) for every item within the radius of a row, in order."""
+        if not len(bits):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        prints = np.packbits(bits, axis=1).view(np.uint64)
+        _, lead, same = np.unique(mix(prints[:, 0]) ^ prints[:, 1], return_index=True, return_inverse=True)  # equal rows are asked for once
+        bits, prints, n = bits[lead], prints[lead], len(self.prints)
+        codes = [np.empty(0, np.int64)]
+        for a, b, flips, start, by in self.blocks:
+            value = self._values(bits, a, b)
+            step = max(1, most // (len(flips) + n))
+            for k in range(0, len(bits), step):
+                near = value[k : k + step, None] ^ flips
+                lo, many = start[near], start[near + 1]
+                many -= lo
+                row = np.repeat(np.arange(k, k + len(near)), many.sum(1))
+                lo, many = lo.reshape(-1), many.reshape(-1)
+                some = np.flatnonzero(many)
+                lo, many = lo[some], many[some]
+                at = np.repeat(lo - (np.cumsum(many) - many), many)
+                item = by[at + np.arange(len(at))]
+                close = np.bitwise_count(prints[row] ^ self.prints[item]).sum(1) <= self.radius
+                codes.append(row[close] * n + item[close])
+        row, item = np.divmod(np.unique(np.concatenate(codes)), n)
+        # Back to the rows asked for.
+        first, end = np.searchsorted(row, same), np.searchsorted(row, same, side="right")
+        many = end - first
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.repeat(np.arange(len(same)), many), item[at]
+
+    def similarity(self, window: np.ndarray, item: int) -> float:
+        """Weighted Jaccard similarity of a window's shingles and an item's."""
+        a, b = self.first[item], self.first[item + 1]
+        own, n = np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(self.shingles[a:b], own), b - a - 1)
+        shared = int(np.minimum(n, self.weights[a:b][at])[self.shingles[a:b][at] == own].sum())
+        return shared / (len(window) + int(self.total[item]) - shared)
+
+    def candidates(self, s: np.ndarray, text: np.ndarray, least: float):
+        """(first shingle, shingles) of the windows that may be similar to some item, in parts, in order.
+
+        s: shingles of all texts in a row; text: the text of each, -1 where a shingle lies in two.
+        """
+        sizes = {m for t in set(self.total.tolist()) for m in range(max(1, int(np.ceil(least * t - 1e-9))), int(np.floor(t / least + 1e-9)) + 1)}
+        longest = max(sizes)
+        right = np.zeros(longest + 1, bool)
+        right[list(sizes)] = True
+        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
+        hit = np.flatnonzero((self.known[at] == s) & (text >= 0))
+        last = np.minimum(np.searchsorted(hit, hit + min(sizes) - 1), len(hit))  # hits that may close a window, from here
+        end = np.minimum(np.searchsorted(hit, hit + longest), np.searchsorted(text[hit], text[hit], side="right"))
+        many = np.maximum(end - last, 0)
+        for k in range(0, len(hit), 4096):
+            n = many[k : k + 4096]
+            i = np.repeat(np.arange(k, k + len(n)), n)
+            j = np.repeat(last[k : k + 4096] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            m = hit[j] - hit[i] + 1
+            fits = right[m] & (j - i + 1 >= least * m - 1e-9)
+            if fits.any():
+                yield hit[i[fits]], m[fits]
 
 
 class Items:
-    """The items' shingles and their fingerprints in multi-index Hamming blocks."""
+    """The items' texts (equal ones once), in an index for each width of shingles."""
 
     def __init__(self, rows: list[tuple[int, str]], shingle: int, radius: int, blocks: int):
-        self.shingle, self.radius, self.blocks = shingle, radius, blocks
         h, starts = hashed_words(pa.array([t for _, t in rows], pa.string()), lower=True)
-        texts: dict[tuple, list[int]] = {}
+        texts: dict[bytes, list[int]] = {}
         for (i, _), a, b in zip(rows, starts, starts[1:]):
             if b > a:
-                texts.setdefault(tuple(h[a:b].tolist()), []).append(i)
-        self.ids = [tuple(sorted(ids)) for ids in texts.values()]
-        own = [shingles(np.array(w, np.uint64), shingle) for w in texts]
-        self.lengths = np.array([len(w) for w in texts], np.int64)
-        self.counts = [Counter(s.tolist()) for s in own]
-        self.prints = np.array([simhash(s) for s in own], np.uint64)
-        every = np.concatenate(own or [np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(own)), [len(s) for s in own])
-        pairs = np.unique(np.stack([every, item.astype(np.uint64)], 1), axis=0) if len(own) else np.empty((0, 2), np.uint64)
-        self.keys, first = np.unique(pairs[:, 0], return_index=True)
-        self.first, self.of = np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
-        self.short = sorted({int(n) for n in self.lengths if n < shingle})
-        # Multi-index blocks: block -> value -> items whose value differs in at most radius // blocks bits.
-        width = 64 // blocks
-        self.widths = [width + (k < 64 % blocks) for k in range(blocks)]
-        self.tables: list[dict[int, list[int]]] = []
-        at = 0
-        for w in self.widths:
-            near = [sum(1 << b for b in c) for r in range(radius // blocks + 1) for c in combinations(range(w), r)]
-            table: dict[int, list[int]] = {}
-            for n, p in enumerate(self.prints.tolist()):
-                value = p >> at & ((1 << w) - 1)
-                for d in near:
-                    table.setdefault(value ^ d, []).append(n)
-            self.tables.append(table)
-            at += w
-
-    def within(self, fingerprint: int) -> set[int]:
-        """All items whose fingerprint is within the radius."""
-        at, found = 0, set()
-        for w, table in zip(self.widths, self.tables):
-            found.update(table.get(fingerprint >> at & ((1 << w) - 1), ()))
-            at += w
-        return {n for n in found if (int(self.prints[n]) ^ fingerprint).bit_count() <= self.radius}
-
-    def leaked(self, texts: pa.Array, least: float) -> list[dict[int, tuple[float, int, int]]]:
-        """For each text: item -> (similarity, first word, words) of the best window."""
-        best: list[dict] = [{} for _ in range(len(texts))]
+                texts.setdefault(h[a:b].tobytes(), []).append(i)
+        by: dict[int, list] = {}
+        for words, ids in texts.items():
+            words = np.frombuffer(words, np.uint64)
+            k = min(shingle, len(words))
+            by.setdefault(k, []).append((windows(words, k), tuple(sorted(ids))))
+        self.widths = {k: (Index([s for s, _ in own], radius, blocks), [ids for _, ids in own]) for k, own in sorted(by.items())}
+
+    def leaked(self, texts: pa.Array, least: float) -> list[list[tuple[tuple, float, int, int]]]:
+        """For each text: (item ids, similarity, first word, words) of the best window of each item that it leaks."""
+        out: list[list] = [[] for _ in range(len(texts))]
         h, starts = hashed_words(texts, lower=True)
-        for k in sorted({self.shingle, *self.short}):
+        many = np.diff(starts)
+        for k, (index, ids) in self.widths.items():
             s = windows(h, k)
-            if not len(s) or not len(self.keys):
-                continue
-            at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[at] == s)
-            doc = np.searchsorted(starts, hit, side="right") - 1
-            inside = hit + k <= starts[doc + 1]  # not across two texts
-            places: dict[tuple[int, int], list[int]] = {}
-            for d, p in zip(doc[inside].tolist(), hit[inside].tolist()):
-                for n in self.of[self.first[at[p]] : self.first[at[p] + 1]].tolist():
-                    if min(self.shingle, int(self.lengths[n])) == k:
-                        places.setdefault((d, n), []).append(p)
-            for (d, n), where in places.items():
-                a, b = int(starts[d]), int(starts[d + 1])
-                if found := self._best(n, s[a : b - k + 1], np.array(where) - a, k, least):
-                    best[d][n] = found
-        return best
-
-    def _best(self, n: int, s: np.ndarray, where: np.ndarray, k: int, least: float):
-        size, total = int(self.lengths[n]), int(self.lengths[n]) - k + 1
-        found = None
-        tried: set[tuple[int, int]] = set()
-        fewest, most = int(np.ceil(least * total - 1e-9)), int(np.floor(total / least + 1e-9))
-        for words in sorted(range(max(1, fewest) + k - 1, min(most, len(s)) + k), key=lambda w: (abs(w - size), w)):
-            m = words - k + 1  # shingles of a window
-            need = int(np.ceil(least / (1 + least) * (m + total) - 1e-9))
-            # A window that begins at a shared shingle, or ends with one, is as good as any around it.
-            begins = np.unique(np.clip(np.concatenate([where, where - m + 1]), 0, len(s) - m))
-            shared = np.searchsorted(where, begins + m) - np.searchsorted(where, begins)
-            if found and found[0] >= 1:
-                break
-            for b in begins[shared >= need].tolist():
-                if (b, words) in tried:
-                    continue
-                tried.add((b, words))
-                window = s[b : b + m]
-                if n in self.within(simhash(window)):
-                    v = similarity(Counter(window.tolist()), self.counts[n])
-                    if v >= least - 1e-12 and (found is None or v > found[0]):
-                        found = v, b, words
-        return found
+            text = np.repeat(np.arange(len(many)), many)[: len(s)]
+            text[np.arange(len(s)) + k > starts[1:][text]] = -1
+            text_at = np.maximum.accumulate(text) if len(text) else text
+            best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            for begin, size in index.candidates(s, text, least):
+                window, item = index.within(simhashes(s, begin, size))
+                # The nearest in size come first, so that an exact copy ends the search.
+                bound = np.minimum(size[window], index.total[item]) / np.maximum(size[window], index.total[item])
+                for n in np.lexsort((window, -bound)).tolist():
+                    w, key = window[n], (int(text_at[begin[window[n]]]), int(item[n]))
+                    had = best.get(key)
+                    if bound[n] < least - 1e-9 or had and bound[n] < -had[0]:
+                        continue
+                    b, m = int(begin[w]), int(size[w])
+                    v = index.similarity(s[b : b + m], key[1])
+                    if v >= least - 1e-12 and (had is None or (-v, b, m) < had):
+                        best[key] = -v, b, m
+            for (d, n), (v, b, m) in sorted(best.items()):
+                out[d].append((ids[n], -v, b - int(starts[d]), m + k - 1))
+        return out
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("n_words", pa.int64())])
@@ -152,7 +207,7 @@ def _item_blocks(items: DataFrame, most_bytes: int):
     yield block
 
 
-def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, most_bytes: int = 32 << 20) -> DataFrame:
+def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 32, blocks: int = 11, most_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words for each item that a row of docs (doc_id, text) leaks."""
     rows, out = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), None
     for block in _item_blocks(items, most_bytes):
@@ -163,8 +218,8 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int =
             for b in slices(batches):
                 found = []
                 for i, leaked in zip(b.column(0).to_pylist(), known.leaked(b.column(1), least)):
-                    for n, (v, at, size) in leaked.items():
-                        found += [(i, item, v, at, size) for item in known.ids[n]]
+                    for ids, v, at, size in leaked:
+                        found += [(i, item, v, at, size) for item in ids]
                 yield batch(FOUND, **{name: [r[k] for r in found] for k, name in enumerate(FOUND.names)})
 
         part = mapped(rows, run, "doc_id long, item_id long, similarity double, start long, n_words long")
@@ -172,7 +227,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int =
     return out
 
 
-def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, most_bytes: int = 32 << 20) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 32, blocks: int = 11, most_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs that leak no item. All columns stay."""
     for block in _item_blocks(items, most_bytes):
         sent, schema = spark.sparkContext.broadcast(Items(block, shingle, radius, blocks)), docs.schema

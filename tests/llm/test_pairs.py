@@ -253,15 +253,65 @@ def test_leaks_of_every_length(spark):
 
 
 def test_multi_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**63, 30).astype(np.uint64) for _ in range(60)]
+    index = leaks.Index(sets, 32, 11)
+    own = leaks.simhashes(np.concatenate(sets), np.arange(60) * 30, np.full(60, 30))
+    asked = []
+    for n in range(400):
+        bits = own[n % 60].copy()
+        bits[rng.choice(128, n // 10, replace=False)] ^= True
+        asked.append(bits)
+    asked = np.array(asked)
+    want = {(i, j) for i, x in enumerate(asked) for j, y in enumerate(own) if (x != y).sum() <= 32}
+    row, item = index.within(asked)
+    assert set(zip(row.tolist(), item.tolist())) == want and len(row) == len(want) >= 330
+    some = index.within(asked, most=1)
+    assert some[0].tolist() == row.tolist() and some[1].tolist() == item.tolist()
+
+
+def test_simhash_is_the_majority_of_its_shingles():
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 2**63, 200).astype(np.uint64)
+    begin, size = np.sort(rng.integers(0, 150, 40)), rng.integers(1, 50, 40)
+    got = leaks.simhashes(s, begin, size, most=16)
+    for b, n, bits in zip(begin, size, got):
+        each = [np.unpackbits(np.array([leaks.mix(x[None] ^ salt)[0] for salt in leaks._SALTS], np.uint64).view(np.uint8)) for x in s[b : b + n]]
+        assert (2 * np.sum(each, 0, dtype=int) > n).tolist() == bits.tolist()
+
+
+def test_leaks_come_from_the_index_alone(spark):
+    """Without an answer of the index nothing is found; with it nearly all that brute force finds, one-word edits included."""
     import random
 
-    rng = random.Random(2)
-    items = leaks.Items([(i, odd.prose(rng, 30)) for i in range(40)], 5, 23, 6)
-    for _ in range(300):
-        f = int(items.prints[rng.randrange(40)])
-        for b in rng.sample(range(64), rng.randint(0, 30)):
-            f ^= 1 << b
-        assert items.within(f) == {n for n, p in enumerate(items.prints.tolist()) if (p ^ f).bit_count() <= 23}
+    rng = random.Random(11)
+    items = [(i, odd.prose(rng, rng.randint(15, 60))) for i in range(150)]
+    rows = []
+    for d in range(900):
+        own = items[rng.randrange(150)][1].split()
+        for _ in range(d % 3):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([["changed"], [], [own[at], "added"]])
+        rows.append((d, " ".join(odd.prose(rng, rng.randint(0, 30)).split() + own + odd.prose(rng, rng.randint(0, 30)).split())))
+    known = leaks.Items(items, 5, 32, 11)
+    texts = leaks.pa.array([t for _, t in rows])
+    got = {(d, i) for d, found in enumerate(known.leaked(texts, 0.8)) for ids, *_ in found for i in ids}
+    grams = {i: set(shingles(t)) for i, t in items}
+    own = [set(shingles(t)) for _, t in rows]
+    want = {(d, i) for d, t in rows for i, item in items if not grams[i].isdisjoint(own[d]) and brute_all_windows(t, item)}
+    assert got <= want and len(want) > 450 and len(got) >= 0.99 * len(want), (len(got), len(want))
+    for index, _ in known.widths.values():
+        index.within = lambda bits: (np.empty(0, np.int64), np.empty(0, np.int64))
+    assert not any(known.leaked(texts, 0.8))
+
+
+def test_items_take_under_a_kilobyte():
+    import pickle
+    import random
+
+    rng = random.Random(5)
+    items = [(i, " ".join(f"{rng.randrange(10**6)}" for _ in range(45))) for i in range(4000)]
+    assert len(pickle.dumps(leaks.Items(items, 5, 32, 11))) < 1000 * len(items)
 
 
 def test_empty_tables(spark):

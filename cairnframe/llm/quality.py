@@ -5,8 +5,10 @@ hashes of the exact text. A word's probability after another is (c(pair) + PAIRS
 p(word) mixes its share of the language's words with NOVEL of its spelling. A text's own counts are taken off before it is scored, so
 what only it says is new to it. In scripts written without blanks each character is a word.
 
-No task and not the driver holds the counts: rows are dealt to slices of some MB, each slice sends its distinct n-grams once, dealt by hash to
-buckets, a bucket adds them up and answers each slice with the totals in the order of its keys. Slices and buckets grow with the input.
+No task and not the driver holds the counts. Rows travel in compressed chunks of about `part_bytes` of text; a chunk sends its distinct n-grams
+once, sorted and Rice coded, dealt by hash to buckets; a bucket adds them up and answers each chunk, in the order of its keys, how often all other chunks
+have them. Chunks and buckets grow with the input. Keys have 8 bits more than the corpus has bytes, so that fewer than one lookup in a thousand finds
+another n-gram's count.
 
 Spelling and blanks are priced by characters: letters fold to 26 classes (accents and case fall away; letters of other scripts are dealt over the
 same classes), and blanks, digits, sentence marks, symbols and the text's start have one class each. Spark counts the 4-grams of all
@@ -32,10 +34,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, WORD, Stored, batch, mapped, mix, powers, slices
+from .common import ODD, WORD, Stored, batch, give_back, mapped, mix, powers, slices
 
 ORDER, BITS = 4, 5
 #: The weight of a word's own probability after another, in pairs, and that of its spelling in its own probability.
@@ -257,9 +260,12 @@ def seed_of(lang: str | None) -> int:
 
 
 class Grams:
-    """The keys of a slice's rows: for each word that of its language, of the word before, of the word and of both; a text's start is a word before."""
+    """The keys of a chunk's rows: for each word that of its language, of the word before, of the word and of both; a text's start is a word before.
 
-    def __init__(self, texts: list[str], langs: list[str | None], most: int = 1 << 20):
+    Keys have `bits` bits: enough for the whole corpus, so that what is sent is short.
+    """
+
+    def __init__(self, texts: list[str], langs: list[str | None], bits: int = 64, most: int = 1 << 20):
         alone, parts, i = _alone(), [], 0
         while i < len(texts):  # about `most` characters at once
             j, size = i, 0
@@ -273,36 +279,52 @@ class Grams:
         self.of = np.concatenate([p[1] for p in parts] or [np.empty(0, np.int64)])
         known = {l: seed_of(l) for l in set(langs)}
         self.lang = mix(np.array([known[l] for l in langs], np.uint64))
-        seed = self.lang[self.of]
-        self.word = mix(h + seed)
-        first = np.ones(len(h), bool)
-        first[1:] = self.of[1:] != self.of[:-1]
-        self.before = np.concatenate([np.zeros(1, np.uint64), self.word[:-1]])[: len(h)]
-        self.before[first] = mix(seed[first] + np.uint64(1))
-        self.first = first
-        self.pair = mix(self.before * ODD + self.word)
+        seed, spare = self.lang[self.of], np.uint64(64 - bits)
+        word = mix(h + seed)
+        self.first = np.ones(len(h), bool)
+        self.first[1:] = self.of[1:] != self.of[:-1]
+        before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])[: len(h)]
+        before[self.first] = mix(seed[self.first] + np.uint64(1))
+        self.word, self.before, self.pair = word >> spare, before >> spare, mix(before * ODD + word) >> spare
+        self.lang = self.lang >> spare
+
+    def _all(self) -> np.ndarray:
+        return np.concatenate([self.lang[self.of], self.before[self.first], self.word, self.pair])
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The sorted distinct keys, and how often each occurs."""
-        return np.unique(np.concatenate([self.lang[self.of], self.before[self.first], self.word, self.pair]), return_counts=True)
-
-    def own(self, keys: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """For each word, how often its text has keys[i] among its `counted`."""
-        salt = mix(self.of.astype(np.uint64) + np.uint64(1))
-        have, n = np.unique(mix(counted + salt), return_counts=True)
-        asked = mix(keys + salt)
-        at = np.minimum(np.searchsorted(have, asked), max(0, len(have) - 1))
-        return np.where(have[at] == asked, n[at], 0) if len(have) else np.zeros(len(keys), np.int64)
+        return np.unique(self._all(), return_counts=True)
+
+    def counted(self, elsewhere: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word, how often all texts but its own have its language's words, the word before, the word and the pair.
+
+        elsewhere: how often other chunks have the distinct keys (None: never).
+        """
+        keys, where, here = np.unique(self._all(), return_inverse=True, return_counts=True)
+        total = here if elsewhere is None else here + elsewhere
+        n, starts = len(self.of), int(self.first.sum())
+        at = np.split(where, [n, n + starts, 2 * n + starts])
+        own_word = self._own(self.word)
+        before = np.empty(n, np.int64)
+        before[1:] = total[at[2][:-1]] - own_word[:-1] if n else 0
+        before[self.first] = total[at[1]] - 1
+        return total[at[0]] - np.bincount(self.of, minlength=len(self.lang))[self.of], before, total[at[2]] - own_word, total[at[3]] - self._own(self.pair)
+
+    def _own(self, keys: np.ndarray) -> np.ndarray:
+        """For each word, how often its text has its key."""
+        x = mix(keys + mix(self.of.astype(np.uint64) + np.uint64(1)))
+        order = np.argsort(x)
+        x = x[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+        many = np.diff(np.append(first, len(x)))
+        out = np.empty(len(x), np.int64)
+        out[order] = np.repeat(many, many)
+        return out
 
 
-def log_words(g: Grams, keys: np.ndarray, totals: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+def log_words(g: Grams, elsewhere: np.ndarray | None, spelled: np.ndarray) -> np.ndarray:
     """ln p of each word after the one before it, by the counts of all other rows."""
-    of = lambda k: totals[np.searchsorted(keys, k)].astype(float)
-    size = np.bincount(g.of, minlength=len(g.lang))[g.of]
-    n = of(g.lang[g.of]) - size
-    word = of(g.word) - g.own(g.word, g.word)
-    pair = of(g.pair) - g.own(g.pair, g.pair)
-    before = of(g.before) - np.where(g.first, 1, g.own(g.before, g.word))
+    n, before, word, pair = (x.astype(float) for x in g.counted(elsewhere))
     p = np.where(n > 0, (1 - NOVEL) * word / np.maximum(n, 1) + NOVEL * np.exp(spelled), np.exp(spelled))
     # What is too long to be spelled in a double is priced by its spelling alone.
     p = (pair + PAIRS * p) / (before + PAIRS)
@@ -310,87 +332,169 @@ def log_words(g: Grams, keys: np.ndarray, totals: np.ndarray, spelled: np.ndarra
     return np.where(p > 1e-290, np.log(np.maximum(p, 1e-300)), rest)
 
 
-def bounds(buckets: int) -> np.ndarray:
-    """The first key of each bucket but the first."""
-    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+def _short(n: np.ndarray) -> bytes:
+    """Counts, most of them small: a byte for each, with the large ones after."""
+    large = n[n >= 255].astype(np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(n)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + large.tobytes())
+
+
+def _long(b: bytes) -> np.ndarray:
+    b = zstandard.ZstdDecompressor().decompress(b)
+    n = int(np.frombuffer(b, np.int64, 1)[0])
+    out = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(b, np.uint8, offset=8 + n).view(np.int64)
+    return out
+
+
+def pack_sorted(keys: np.ndarray, low: int, rice: int) -> bytes:
+    """Ascending distinct keys from `low` on, as their differences in a Rice code of `rice` plain bits."""
+    d = np.diff(keys, prepend=np.uint64(low))
+    ends = np.cumsum((d >> np.uint64(rice)).astype(np.int64) + 1)
+    unary = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    unary[ends - 1] = True
+    odd, whole = rice % 8, rice // 8
+    bits = np.packbits((d[:, None] >> np.arange(odd, dtype=np.uint64) & np.uint64(1)).astype(bool)) if odd else np.empty(0, np.uint8)
+    planes = (d >> np.uint64(odd)).view(np.uint8).reshape(-1, 8)[:, :whole]
+    unary = np.packbits(unary)
+    return np.array([len(keys), rice, len(unary), len(bits)], np.int64).tobytes() + unary.tobytes() + bits.tobytes() + planes.tobytes()
+
+
+def unpack_sorted(b: bytes, low: int) -> np.ndarray:
+    n, rice, unary, bits = np.frombuffer(b, np.int64, 4).tolist()
+    odd, whole = rice % 8, rice // 8
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8, unary, 32)))[:n]
+    d = (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(rice)
+    if whole:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :whole] = np.frombuffer(b, np.uint8, n * whole, 32 + unary + bits).reshape(n, whole)
+        d |= wide.view(np.uint64).reshape(n) << np.uint64(odd)
+    if odd:
+        d |= np.unpackbits(np.frombuffer(b, np.uint8, bits, 32 + unary))[: n * odd].reshape(n, odd).astype(np.uint64) @ (np.uint64(1) << np.arange(odd, dtype=np.uint64))
+    return np.uint64(low) + np.cumsum(d)
+
+
+def bounds(buckets: int, bits: int) -> list[int]:
+    """The first key of each bucket, and the end."""
+    return [(k << bits) // buckets for k in range(buckets + 1)]
+
+
+CHUNK = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())])
 
 
-def totals_of(dealt: DataFrame, buckets: int) -> DataFrame:
-    """part, bucket, totals: how often all texts have the distinct keys of each part of `dealt`, in the keys' order."""
+def chunks_of(docs: DataFrame, parts: int, part_bytes: int) -> DataFrame:
+    """part, rows: the rows of docs (doc_id, text, lang) in compressed chunks of about part_bytes of text, dealt by part."""
+    schema = pa.schema([("part", pa.int64()), ("rows", pa.binary())])
+
+    def deal(batches):
+        from pyspark import TaskContext
+
+        first, held, size, n = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def chunk():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, CHUNK, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_batch(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            return batch(schema, part=[first + n], rows=[sink.getvalue().to_pybytes()])
+
+        for b in slices(batches):
+            b = pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, CHUNK.types)], schema=CHUNK)
+            for b in slices([b], part_bytes):
+                if held and size + b.column(1).nbytes > part_bytes:
+                    yield chunk()
+                    held, size, n = [], 0, n + 1
+                held.append(b)
+                size += b.column(1).nbytes
+        if held:
+            yield chunk()
+
+    return mapped(docs, deal, "part long, rows binary").repartition(parts, "part")
+
+
+def _rows(blob: bytes) -> tuple[list[int | None], list[str], list[str | None]]:
+    t = pa.ipc.open_stream(blob).read_all()
+    return t.column(0).to_pylist(), [x or "" for x in t.column(1).to_pylist()], t.column(2).to_pylist()
+
+
+def counts_elsewhere(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """part, bucket, n: how often other chunks have the distinct keys of each chunk, in the keys' order."""
     sent = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-    answer = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary())])
-
-    def send(table):
-        texts, langs = ([t or "" for t in table.column("text").to_pylist()], table.column("lang").to_pylist())
-        keys, n = Grams(texts, langs).distinct()
-        at = np.concatenate([[0], np.searchsorted(keys, bounds(buckets)), [len(keys)]])
-        n = n.astype(np.uint32)
-        some = [b for b in range(buckets) if at[b] < at[b + 1]]
-        part = table.column("part")[0].as_py()
-        return pa.table(
-            [[part] * len(some), some, [keys[at[b] : at[b + 1]].tobytes() for b in some], [n[at[b] : at[b + 1]].tobytes() for b in some]], schema=sent
-        )
+    answer = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("n", pa.binary())])
+    edges = bounds(buckets, bits)
+
+    def send(batches):
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                _, texts, langs = _rows(blob)
+                keys, n = Grams(texts, langs, bits).distinct()
+                rice = max(0, bits - max(1, len(keys)).bit_length())
+                at = np.searchsorted(keys, np.array(edges[:-1], np.uint64)).tolist() + [len(keys)]
+                some = [k for k in range(buckets) if at[k] < at[k + 1]]
+                yield batch(sent, part=[part] * len(some), bucket=some, keys=[pack_sorted(keys[at[k] : at[k + 1]], edges[k], rice) for k in some], n=[_short(n[at[k] : at[k + 1]]) for k in some])
 
     def add(table):
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        n = [np.frombuffer(k, np.uint32) for k in table.column("n").to_pylist()]
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate(n)).astype(np.int64)[where]
+        low = edges[table.column("bucket")[0].as_py()]
+        keys = [unpack_sorted(k, low) for k in table.column("keys").to_pylist()]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table([table.column("part"), table.column("bucket"), [t.tobytes() for t in np.split(total, cuts)]], schema=answer)
+        n = np.concatenate([_long(k) for k in table.column("n").to_pylist()])
+        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        rest = np.bincount(where, n, len(keys)).astype(np.int64)[where] - n
+        out = pa.table([table.column("part"), table.column("bucket"), [_short(x) for x in np.split(rest, cuts)]], schema=answer)
+        del keys, where, n, rest
+        give_back()
+        return out
 
-    found = dealt.groupBy("part").applyInArrow(send, "part long, bucket long, keys binary, n binary")
-    return found.groupBy("bucket").applyInArrow(add, "part long, bucket long, totals binary")
+    return mapped(chunks, send, "part long, bucket long, keys binary, n binary").groupBy("bucket").applyInArrow(add, "part long, bucket long, n binary")
 
 
 def score(spark: SparkSession, docs: DataFrame, model: KneserNey, slots: Slots, part_bytes: int = 16 << 20) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
-    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes
-    buckets = 8 + parts // 4
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(parts)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // part_bytes
+    buckets, bits = 8 + parts // 2, min(64, max(36, 8 + size.bit_length()))
+    chunks = chunks_of(docs, max(8, parts), part_bytes)
 
     def run(table, answers):
-        classes, alone, lm = _classes(), _alone(), sent.value
-        ids, texts, langs = (table.column(k).to_pylist() for k in ("doc_id", "text", "lang"))
-        texts = [t or "" for t in texts]
-        grams = Grams(texts, langs)
-        keys = grams.distinct()[0]
-        order = np.argsort(answers.column("bucket").to_numpy())
-        blobs = answers.column("totals").to_pylist()
-        totals = np.concatenate([np.frombuffer(blobs[i], np.int64) for i in order] or [np.empty(0, np.int64)])
-        assert len(totals) == len(keys)
-        found, spelled, first = np.zeros(len(texts)), np.zeros(len(grams.of)), np.searchsorted(grams.of, np.arange(len(texts) + 1))
-        by: dict[int, list[int]] = {}
-        for n, (t, l) in enumerate(zip(texts, langs)):
-            if t:
-                by.setdefault(slots[l], []).append(n)
-        for s, all_mine in by.items():
-            size = np.cumsum([len(texts[n]) for n in all_mine]) >> 20
-            for mine in np.split(np.array(all_mine), np.flatnonzero(np.diff(size)) + 1):
-                codes, starts = packed([texts[n] for n in mine], classes)
-                known = np.flatnonzero(np.bincount(codes, minlength=1 << BITS * ORDER))
-                price = np.zeros(1 << BITS * ORDER)
-                price[known] = lm.log_p(s, known)
-                sums = np.concatenate([[0.0], np.cumsum(price[codes])])
-                begin, end, _, of = words_of([texts[n] for n in mine], alone)
-                letters = sums[end] - sums[begin]
-                spelled[np.concatenate([np.arange(first[n], first[n + 1]) for n in mine])] = letters
-                found[mine] = np.diff(sums[starts]) - np.bincount(of, letters, len(mine))  # the blanks
-        found += np.bincount(grams.of, log_words(grams, keys, totals, spelled), len(texts))
-        length = np.fromiter(map(len, texts), np.int64, len(texts))
-        counted = np.array([base(t) for t in texts], np.int64).reshape(-1, 5)
-        return pa.Table.from_batches(
-            [batch(SCORED, doc_id=ids, lang=langs, **{n: counted[:, k] for k, n in enumerate(SCORED.names[2:7])}, log_perplexity=pa.array(-found / np.maximum(length, 1), pa.float64(), mask=length == 0))]
-        )
+        out = [_scored(*_rows(blob), answers, sent.value, slots, bits) for blob in table.column("rows").to_pylist()]
+        give_back()
+        return pa.Table.from_batches(out, schema=SCORED)
 
     return (
-        dealt.groupBy("part")
-        .cogroup(totals_of(dealt, buckets).groupBy("part"))
+        chunks.groupBy("part")
+        .cogroup(counts_elsewhere(chunks, buckets, bits).groupBy("part"))
         .applyInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
     )
 
 
+def _scored(ids: list, texts: list[str], langs: list, answers: pa.Table, lm: KneserNey, slots: Slots, bits: int) -> pa.RecordBatch:
+    """Rows of SCORED for the rows of one chunk."""
+    classes, alone = _classes(), _alone()
+    grams = Grams(texts, langs, bits)
+    blobs = answers.column("n").to_pylist()
+    elsewhere = np.concatenate([_long(blobs[i]) for i in np.argsort(answers.column("bucket").to_numpy())] or [np.empty(0, np.int64)])
+    found, spelled, first = np.zeros(len(texts)), np.zeros(len(grams.of)), np.searchsorted(grams.of, np.arange(len(texts) + 1))
+    by: dict[int, list[int]] = {}
+    for n, (t, l) in enumerate(zip(texts, langs)):
+        if t:
+            by.setdefault(slots[l], []).append(n)
+    for s, all_mine in by.items():
+        size = np.cumsum([len(texts[n]) for n in all_mine]) >> 20
+        for mine in np.split(np.array(all_mine), np.flatnonzero(np.diff(size)) + 1):
+            codes, starts = packed([texts[n] for n in mine], classes)
+            known = np.flatnonzero(np.bincount(codes, minlength=1 << BITS * ORDER))
+            price = np.zeros(1 << BITS * ORDER)
+            price[known] = lm.log_p(s, known)
+            sums = np.concatenate([[0.0], np.cumsum(price[codes])])
+            begin, end, _, of = words_of([texts[n] for n in mine], alone)
+            letters = sums[end] - sums[begin]
+            spelled[np.concatenate([np.arange(first[n], first[n + 1]) for n in mine])] = letters
+            found[mine] = np.diff(sums[starts]) - np.bincount(of, letters, len(mine))  # the blanks
+    found += np.bincount(grams.of, log_words(grams, elsewhere, spelled), len(texts))
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    counted = np.array([base(t) for t in texts], np.int64).reshape(-1, 5)
+    return batch(SCORED, doc_id=ids, lang=langs, **{n: counted[:, k] for k, n in enumerate(SCORED.names[2:7])}, log_perplexity=pa.array(-found / np.maximum(length, 1), pa.float64(), mask=length == 0))
+
+
 def rate(spark: SparkSession, docs: DataFrame, width: float = 5.0, least: float = 0.12, slots: int = 16) -> DataFrame:
     """For every row of docs (doc_id, text, lang): the counts, log_perplexity, its band (lower, upper), base_failed and kept."""
     slots = slots_of(docs, slots)
@@ -398,10 +502,12 @@ def rate(spark: SparkSession, docs: DataFrame, width: float = 5.0, least: float
     scored = Stored(spark, "quality").write(score(spark, docs, model, slots))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("of", F.coalesce("lang", F.lit("")))
+    # Bands are one row for each language; they are broadcast only while these are few.
+    few = F.broadcast if scored.select("of").distinct().limit(10_001).count() <= 10_000 else lambda df: df
     good, root = scored.where(~F.col("base_failed")), F.sqrt(F.greatest("word_chars", F.lit(1)))
     middle = good.groupBy("of").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle"))
-    strays = good.join(middle, "of").groupBy("of").agg(F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")) * root, 0.5, 10_000).alias("stray"))
+    strays = good.join(few(middle), "of").groupBy("of").agg(F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")) * root, 0.5, 10_000).alias("stray"))
     half = F.greatest(F.lit(least), width * 1.4826 * F.col("stray") / root)
-    bands = scored.join(strays, "of", "left").withColumns({"lower": F.col("middle") - half, "upper": F.col("middle") + half})
+    bands = scored.join(few(strays), "of", "left").withColumns({"lower": F.col("middle") - half, "upper": F.col("middle") + half})
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
     return bands.withColumn("kept", ~F.col("base_failed") & inside).drop("of", "middle", "stray")

@@ -208,6 +208,17 @@ def test_words_follow_the_corpus(spark):
         assert got[1000 + i] > max(got[k] for k in range(600) if k % 20 == i)
 
 
+def test_packed_keys_and_counts():
+    rng = np.random.default_rng(5)
+    for n, bits in ((0, 36), (1, 36), (5000, 36), (3000, 44), (700, 64)):
+        keys = np.unique(rng.integers(0, 1 << min(bits, 63), n).astype(np.uint64))
+        low = int(keys[0]) // 2 if n else 0
+        for rice in (bits - n.bit_length(), min(62, bits - n.bit_length() + 5)):
+            assert quality.unpack_sorted(quality.pack_sorted(keys, low, rice), low).tolist() == keys.tolist()
+    counts = np.array([0, 1, 254, 255, 256, 10**12, 3])
+    assert quality._long(quality._short(counts)).tolist() == counts.tolist()
+
+
 def test_word_counts_against_brute_force(spark):
     docs = odd.documents(spark).where("length(text) < 100000")
     rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()]

@@ -7,7 +7,7 @@ what only it says is new to it. In scripts written without blanks each character
 
 No task and not the driver holds the counts. Rows travel in compressed chunks of about `part_bytes` of text; a chunk sends its distinct n-grams
 once, sorted and Rice coded, dealt by hash to buckets; a bucket adds them up and answers each chunk, in the order of its keys, how often all other chunks
-have them. Chunks and buckets grow with the input. Keys have 8 bits more than the corpus has bytes, so that fewer than one lookup in a thousand finds
+have them. Chunks and buckets grow with the input. Keys have 6 bits more than the corpus has bytes, and words have several bytes, so that about one lookup in a thousand finds
 another n-gram's count.
 
 Spelling and blanks are priced by characters: letters fold to 26 classes (accents and case fall away; letters of other scripts are dealt over the
@@ -451,7 +451,7 @@ def score(spark: SparkSession, docs: DataFrame, model: KneserNey, slots: Slots,
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + size // part_bytes
-    buckets, bits = 8 + parts // 2, min(64, max(36, 8 + size.bit_length()))
+    buckets, bits = 8 + parts // 2, min(64, max(36, 6 + size.bit_length()))
     chunks = chunks_of(docs, max(8, parts), part_bytes)
 
     def run(table, answers):

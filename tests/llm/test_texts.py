@@ -281,6 +281,77 @@ def test_extraction_finds_the_articles(spark, sf):
         assert got[r["page_id"]]["text"] == text and got[r["page_id"]]["n_chars"] == len(text)
 
 
+def brute_content(measured, threshold):
+    """Smoothing, fusion and threshold, written out."""
+    rows = list(measured.items())
+    near = lambda f, i: sum(exp(-2 * (i - k) ** 2) * f(rows[k][1]) for k in range(len(rows)) if abs(i - k) <= 1) / sum(exp(-2 * (i - k) ** 2) for k in range(len(rows)) if abs(i - k) <= 1)
+    fused = []
+    for i, (_, (n, length, marks, linked, prior)) in enumerate(rows):
+        fused.append((near(lambda v: v[1] / v[0], i) * near(lambda v: (v[2] + 0.1) / v[0], i)) ** 0.5 * (1 - linked / length) * prior)
+    weight = [v[1] * v[4] for _, v in rows]
+    mean = sum(f * w for f, w in zip(fused, weight)) / sum(weight)
+    return {p for (p, _), f in zip(rows, fused) if f > 0 and f >= threshold * mean}
+
+
+def test_content_paths_against_brute_force():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(200):
+        measured = {}
+        for p in rng.sample(range(100), rng.randint(1, 12)):
+            n, length = rng.randint(1, 9), rng.randint(1, 2000)
+            measured[p] = [n, length, rng.randint(0, 40), rng.choice([0, 0, length, length // 2]), rng.choice([1, 1, html.AGAINST])]
+        assert html.content_paths(measured, 0.25) == brute_content(measured, 0.25)
+
+
+def plain_page(rng):
+    """A page without telling elements, classes or ids: links, slogans, a story, a list beside it and an imprint. With the story."""
+    words = lambda n: odd.prose(rng, n)
+    story = [words(6)] + [f"{words(25)}, {words(20)}. {words(30)}; {words(9)}." for _ in range(rng.randint(2, 6))] + ["Yes."]
+    body = f"<div><h2>{story[0]}</h2>" + "".join(f"<p>{p}</p>" for p in story[1:]) + "</div>"
+    links = "<div><ul>" + "".join(f'<li><a href="/{i}">{words(2)}</a></li>' for i in range(rng.randint(3, 12))) + "</ul></div>"
+    slogans = "<div>" + "".join(f"<span>{words(4)}</span><br>" for _ in range(rng.randint(2, 8))) + "</div>"
+    beside = "<div><table>" + "".join(f"<tr><td>{words(3)}</td><td>{rng.randint(1, 99)}</td></tr>" for _ in range(rng.randint(2, 9))) + "</table></div>"
+    imprint = f"<div><small>&copy; {words(5)}</small></div>"
+    parts = [links, slogans, beside]
+    rng.shuffle(parts)
+    at = rng.randint(0, 3)
+    return "<html><body>" + "".join([*parts[:at], body, *parts[at:]]) + imprint + "</body></html>", "\n".join(" ".join(x.split()) for x in story)
+
+
+def test_ratios_find_the_story_where_nothing_names_it(monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    pages = [plain_page(rng) for _ in range(120)]
+    right = lambda: sum(html.extract(source) == story for source, story in pages)
+    assert right() >= 0.95 * len(pages)
+    monkeypatch.setattr(html, "content_paths", lambda measured, threshold: set(measured))
+    assert right() == 0
+    monkeypatch.setattr(html, "content_paths", lambda measured, threshold: {next(iter(measured))})
+    assert right() < 60
+
+
+def test_threshold_keeps_the_tables_boilerplate_out(monkeypatch, spark, sf):
+    """On the given pages names are only a prior: were every path content, each result would change."""
+    sources = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
+    before = [html.extract(x) for x in sources]
+    monkeypatch.setattr(html, "content_paths", lambda measured, threshold: set(measured))
+    assert all(html.extract(x) != y for x, y in zip(sources, before))
+
+
+@pytest.mark.parametrize("hostile", ["<b>" * 170_000 + "</i>" * 120_000, "<div>x" * 160_000, "<table>" + "<tr><td>x" * 110_000, "<ul><li>" * 120_000, "<span>" * 100_000 + "</p>" * 100_000, '<a "' * 250_000, "<!--" * 250_000, "<article>x" * 100_000])
+def test_hostile_pages_take_time_in_proportion(hostile):
+    import time
+
+    began = time.perf_counter()
+    html.extract(hostile[: len(hostile) // 8])
+    part = time.perf_counter() - began
+    html.extract(hostile)
+    assert time.perf_counter() - began < 8 + 24 * part  # quadratic time would take minutes
+
+
 def test_extraction_tables(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (None, "u", "", 2), (2, "u", "<p>a, b</p>", 3), (2, "u", "<p>a, b</p>", 3)], "page_id long, url string, html string, text int")
     got = sorted(map(tuple, html.extract_pages(pages).collect()), key=repr)

@@ -96,5 +96,46 @@ def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: Words, and the words in lower case (A-Z).
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_TEXT = "coalesce(text, '')"
+_LOWER = f"translate({_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Sets, all pairs that share a shingle, links, and what is reached over links.
+_OP5 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS x FROM w),
+u AS (SELECT doc_id, len(x) AS n, unnest(x) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS same FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * same >= 80 * (an + bn - same)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY ALL
+"""
+
+#: All windows of 20 words, those that began before, and the words that none of them covers.
+_OP9 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(_TEXT)} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(20)) AS k FROM rep)),
+word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+left_over AS (SELECT word.doc_id, string_agg(word.x, ' ' ORDER BY word.p) AS kept, count(*) AS n FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over ON w.doc_id = left_over.doc_id
+"""
+
+#: The given pages hold one article each, of headings, paragraphs, line breaks and bold text: what stands in it, block by block.
+_OP3 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inside FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(inside, '</?b>', '', 'g'), '</?(?:h1|p)>|<br>'),
+      lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
 def oracle_sql():
-    return {}
+    """What SQL can express; the other queries are held against brute force, round trips or held-out accuracy in tests/llm."""
+    return {"op3_tag_path_text": _OP3, "op5_jaccard_components": _OP5, "op9_repeated_passages": _OP9}

@@ -3,9 +3,10 @@
 A url's path becomes a template, segment by segment: a segment that looks generated (digits, hexadecimal, dates, a long mixture)
 turns into a wildcard that keeps its shape (`<n>`, `<hex>`, `<id>`), and the literal children of a node that have fewer than `rare` pages
 turn into `<*>` where the node has more than `fan_out` of them. Sibling branches of a host (same depth, same following shapes, differing in
-one literal segment) merge where a two-proportion test can't tell their labelled shares apart and each holds enough labelled
-pages. A template is rejected where its smoothed labelled purity, (blocked + strength * the host's smoothed share) / (pages +
-strength), reaches `reject_at`: pages without a label count as not blocked, so that a template falls only by what is known of it.
+one literal segment) merge where a two-proportion test can't tell their labelled shares from those of their kin apart and each holds enough labelled
+pages. A template is rejected where its smoothed labelled purity, (blocked + strength * the host's share) / (labelled + strength), reaches
+`reject_at`; the host's share, blocked / (labelled + strength), is drawn towards 0 itself. Pages without a label say nothing, and a branch without labelled
+pages has no purity and is allowed: that other branches of its host are bad is no evidence against it.
 Segments beyond `depth` collapse into `<**>`.
 
 Rules come first: a rule (host suffix, path prefix) fits its host and all subdomains; the longest (host and path together, then
@@ -21,7 +22,7 @@ splits what a join still finds skewed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored
@@ -101,15 +102,16 @@ def judge(pages: DataFrame, rules=RULES, label: str | None = None, depth: int =
     # Merge: siblings that differ in their first literal segment only, labelled alike. Each is compared with its family as a whole.
     literal = F.array_position(F.transform("t", lambda s: F.when(F.startswith(s, F.lit("<")), 0).otherwise(1)), 1).cast("int")
     family = F.when(literal > 0, F.concat(F.slice("t", F.lit(1), literal - 1), F.array(F.lit("<+>")), F.slice("t", literal + 1, F.lit(depth + 1)))).otherwise(F.col("t"))
-    kin = Window.partitionBy("host", "family")  # distinct templates of one host and shape
-    all_n, all_bad = F.sum("labelled").over(kin), F.sum("blocked").over(kin)
-    rest_n, rest_bad = all_n - F.col("labelled"), all_bad - F.col("blocked")
-    share, rest_share, pooled = F.col("blocked") / F.col("labelled"), rest_bad / rest_n, all_bad / all_n
-    alike = (F.col("labelled") >= 5) & (rest_n >= 5) & (F.abs(share - rest_share) <= z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_n)))
-    merged = merged.withColumn("family", family).withColumn("branch", F.when(alike, F.col("family")).otherwise(F.col("t")))
-    branch = merged.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
-    hosts = branch.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("blocked").alias("host_blocked"))
-    purity = (F.col("blocked") + strength * F.col("host_blocked") / (F.col("host_n") + strength)) / (F.col("n") + strength)
+    merged = merged.withColumn("family", family)
+    kin = merged.groupBy("host", "family").agg(F.sum("labelled").alias("all_n"), F.sum("blocked").alias("all_bad"))
+    rest_n, rest_bad = F.col("all_n") - F.col("labelled"), F.col("all_bad") - F.col("blocked")
+    share, rest_share, pooled = F.try_divide("blocked", "labelled"), F.try_divide(rest_bad, rest_n), F.try_divide("all_bad", "all_n")
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_n)))
+    alike = (F.col("labelled") >= 5) & (rest_n >= 5) & (F.abs(share - rest_share) <= z * spread)
+    merged = merged.join(kin, ["host", "family"]).withColumn("branch", F.when(alike, F.col("family")).otherwise(F.col("t")))
+    branch = merged.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    hosts = branch.groupBy("host").agg((F.sum("blocked") / (F.sum("labelled") + F.lit(strength))).alias("host_share"))
+    purity = F.when(F.col("labelled") > 0, (F.col("blocked") + strength * F.col("host_share")) / (F.col("labelled") + strength))
     verdicts = branch.join(hosts, "host").select("host", "branch", purity.alias("purity"))
     verdicts = merged.select("host", "t", "branch").join(verdicts, ["host", "branch"])
     verdicts = store.write(tree.select("host", F.col("from").alias("was"), "t").join(verdicts, ["host", "t"]).select("host", "was", "branch", "purity"))

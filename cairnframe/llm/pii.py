@@ -2,9 +2,10 @@
 
 Each text is searched twice. The base detectors read it as it is. Then a cascade of transducers rewrites it, keeping for every
 output character the span of source characters it stands for: homoglyphs and full-width forms become ASCII, invisible
-characters vanish, spelled digits become digits, and at/dot disguises become @ and '.'. The same detectors read the rewritten
-text, and their spans are mapped back to the source. A mapped span is added if no span of its kind overlaps it already and the
-transducers changed something inside it, so base spans always stay. A bare "at" before plain dots is read as a sign only after a name
+characters vanish, character references of @ and '.' are read, spelled digits become digits, letters and signs inside numbers become what they
+stand for, and at/dot disguises become @ and '.'. The same detectors read the rewritten
+text, and their spans are mapped back to the source. A mapped span is added if the transducers changed something inside it and the spans of its
+kind that it meets are parts of it (a base detector may find the undisguised part of an address); base spans always stay. A bare "at" before plain dots is read as a sign only after a name
 with an inner dot, underscore or plus: `jane at example.com` has no span, since prose says "see us at example.com" ("arroba" is always read).
 
 Defined results: null and empty texts have no spans; repeated rows are separate rows; other columns are ignored; rows of a
@@ -34,7 +35,8 @@ LOOKALIKES = {
     c: plain
     for plain, alike in {
         "A": "АΑ", "B": "ВΒ", "C": "С", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "УΥ", "Z": "Ζ",
-        "a": "аα", "c": "с", "e": "е", "h": "һ", "i": "іιıⅰ", "j": "ј", "l": "ⅼ", "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "t": "τ", "v": "ν", "w": "ԝ", "x": "х", "y": "у", "3": "З",
+        "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іιıⅰ", "j": "ј", "k": "кκ", "l": "ⅼӏ", "m": "м", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "t": "тτ", "u": "υս", "v": "νѵ",
+        "w": "ԝ", "x": "хχ", "y": "уγ", "3": "З",
         ".": "․﹒。｡∙", ",": "‚", "@": "＠﹫", "-": "–—‐‑‒−﹣－",
     }.items()
     for c in alike
@@ -48,16 +50,33 @@ DIGIT_WORDS = {
 INVISIBLE = frozenset("­​‌‍⁠﻿")
 
 _NUMERAL = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: Three or more numerals in a row (digits may stand among them), so that a lone "one" stays a word.
-SPELLED = re.compile(rf"(?<![^\W\d_])(?:(?:{_NUMERAL})|[0-9])(?:[\x20.,()+-]{{0,3}}(?:(?:{_NUMERAL})(?![^\W\d_])|[0-9]))" r"{2,}", re.I)
-TOKEN = re.compile(rf"(?:{_NUMERAL})(?![^\W\d_])|[0-9]", re.I)
+_BLANK_DOT = r"[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+"
+#: A digit, or numerals written together ("sixtwo") that end where the word ends.
+_UNIT = rf"(?:(?:{_NUMERAL})+(?![^\W\d_])|[0-9])"
+#: Three or more of them in a row (digits may stand among them), so that a lone "one" stays a word.
+SPELLED = re.compile(rf"(?<![^\W\d_]){_UNIT}(?:(?:[\x20.,()+-]{{0,3}}|{_BLANK_DOT}){_UNIT})" r"{2,}", re.I)
+TOKEN = re.compile(rf"{_NUMERAL}|[0-9]", re.I)
 #: An address with a spelled at: bracketed anywhere, or bare where a spelled dot and a label follow. With plain dots only, "at" is mostly a
 #: word ("see us at example.com"); it is read as a sign after a name with an inner dot, underscore or plus, "arroba" after any.
-AT = re.compile(r"[\x20\t]*[\[({<]\s*(?:at|ät|arroba|chez|@)\s*[\])}>][\x20\t]*", re.I)
-DOT = re.compile(r"[\x20\t]*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>][\x20\t]*", re.I)
-BARE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z0-9._%+-]+)([\x20\t]+(?:at|arroba)[\x20\t]+|[\x20\t]*@[\x20\t]*)([A-Za-z0-9-]+(?:(?:[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+|\.)[A-Za-z0-9-]+)+)", re.I)
+AT = re.compile(r"(?<![\x20\t])[\x20\t]*+[\[({<]\s*(?:at|ät|arroba|chez|@)\s*[\])}>][\x20\t]*", re.I)
+DOT = re.compile(r"(?<![\x20\t])[\x20\t]*+[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>][\x20\t]*", re.I)
+BARE = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)([\x20\t]+(?:at|arroba)[\x20\t]+|[\x20\t]*@[\x20\t]*)([A-Za-z0-9-]+(?:(?:[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+|\.)[A-Za-z0-9-]+)+)", re.I)
 NUMBER_DOT = re.compile(r"(?<=[0-9])[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+(?=[0-9])", re.I)
-BARE_DOT = re.compile(r"[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+", re.I)
+BARE_DOT = re.compile(r"(?<![\x20\t])[\x20\t]++(?:dot|punkt|punto|point)[\x20\t]+", re.I)
+
+#: Character references and escapes of @ and '.'; words joined by hyphens or underscores; blanks around a sign between digits; groups of a card's
+#: digits with other signs between them; letters that stand for digits inside a card's number; a spelled plus before digits.
+REFERENCE = re.compile(r"&(?:#0*64|#x0*40|commat);|%40|&(?:#0*46|#x0*2e|period);", re.I)
+JOINED = re.compile(r"(?<![A-Za-z0-9%+])(?<![A-Za-z0-9%+][-_.])[A-Za-z0-9%+]++(?:[-_.](?!at[-_])[A-Za-z0-9%+]++)*+([-_]at[-_])[A-Za-z0-9]++(?:[-_]dot[-_][A-Za-z0-9]++)+", re.I)
+JOINED_DOT = re.compile(r"[-_]dot[-_]", re.I)
+APART = re.compile(r"(?<=[0-9])[\x20\t]+([.-])[\x20\t]+(?=[0-9])")
+GROUPS = re.compile(r"(?<![0-9.])[0-9]{4}([._/·•])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9.])")
+MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9OoIl]){12,22}(?![A-Za-z0-9])")
+PLUS = re.compile(r"(?<![^\W\d_])plus[\x20]+(?=[0-9][\x20().0-9-]{7,}[0-9])", re.I)
+OPEN_PLUS = re.compile(r"\+[\x20]+(?=[0-9][\x20().0-9-]{7,}[0-9])")
+#: "jane @ example . com"
+WIDE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++([\x20\t]+@[\x20\t]+)[A-Za-z0-9-]+(?:[\x20\t]+\.[\x20\t]+[a-z0-9-]+)+(?![A-Za-z0-9])")
+WIDE_DOT = re.compile(r"(?<![\x20\t])[\x20\t]++\.[\x20\t]+")
 
 #: A text that none of these finds is its own normal form.
 BRACKETED = re.compile(r"[\[({<]\s*(?:at|ät|arroba|chez|@|dot|punkt|punto|point|\.)\s*[\])}>]", re.I)
@@ -68,7 +87,11 @@ DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}")
 SPOKEN_DOT = re.compile(r"[\x20\t](?:dot|punkt|punto|point)[\x20\t]", re.I)
 UNUSUAL = re.compile(r"[^\x00-\x7FÀ-İĲ-ɏ]")
 #: A numeral before a separator and a digit or numeral. It begins at the separator's right, where few places fit.
-SPELLED_TRIGGER = re.compile(rf"[\x20.,()+-](?:(?:{_NUMERAL})(?![^\W\d_])|[0-9])", re.I)
+SPELLED_TRIGGER = re.compile(rf"[\x20.,()+-](?:(?:{_NUMERAL})+(?![^\W\d_])|[0-9])", re.I)
+JOINED_AT = re.compile(r"[-_]at[-_]", re.I)
+#: What APART, GROUPS and MIXED begin with.
+DIGIT_SIGN = re.compile(r"[0-9](?:[\x20\t]+[.-][\x20\t]|[._/·•][0-9]{4}|[\x20-]?[OoIl])")
+PLUS_DIGIT = re.compile(r"plus\x20+[0-9]", re.I)
 
 
 def disguised(text: str) -> bool:
@@ -78,6 +101,10 @@ def disguised(text: str) -> bool:
         or "@" in text and SPACED_AT.search(text)
         or SPOKEN_DOT.search(text)
         or PLAIN_AT.search(text)
+        or ("&" in text or "%" in text) and REFERENCE.search(text)
+        or JOINED_AT.search(text)
+        or DIGIT_SIGN.search(text) and (APART.search(text) or GROUPS.search(text) or MIXED.search(text))
+        or PLUS_DIGIT.search(text)
         or SPELLED_TRIGGER.search(text) and SPELLED.search(text)
     )
 
@@ -160,8 +187,10 @@ def _look(c: str) -> str | None:
 
 
 def normalise(text: str) -> Tape:
+    """The cascade: characters, references, spelled digits, signs between digits, then at and dot."""
     tape = Tape(text)
     tape.rewrite([(m.start(), m.end(), put) for m in UNUSUAL.finditer(tape.text) if (put := _look(m[0])) is not None])
+    tape.rewrite([(m.start(), m.end(), "@" if re.search("64|40|commat", m[0]) else ".") for m in REFERENCE.finditer(tape.text)])
     edits = []
     for m in SPELLED.finditer(tape.text):
         tokens = list(TOKEN.finditer(tape.text, m.start(), m.end()))
@@ -172,10 +201,24 @@ def normalise(text: str) -> Tape:
             gap = following and (t[0].isalpha() or following[0].isalpha()) and not tape.text[t.end() : following.start()].strip(" ,")
             if t[0].isalpha() or gap and following.start() > t.end():
                 edits.append((t.start(), following.start() if gap else t.end(), DIGIT_WORDS.get(t[0].lower(), t[0])))
+    spelled = bool(edits)
     tape.rewrite(edits)
+    tape.rewrite([(m.start(), m.end(), "+") for m in PLUS.finditer(tape.text)])
+    if spelled:
+        tape.rewrite([(m.start(), m.end(), "+") for m in OPEN_PLUS.finditer(tape.text)])
+    tape.rewrite([(m.start(), m.end(), m[1]) for m in APART.finditer(tape.text)])
+    tape.rewrite([(m.start() + k, m.start() + k + 1, "-") for m in GROUPS.finditer(tape.text) for k in (4, 9, 14)])
+    tape.rewrite([(m.start() + k, m.start() + k + 1, "0" if c in "Oo" else "1") for m in MIXED.finditer(tape.text) if sum(c.isdigit() for c in m[0]) >= 9 for k, c in enumerate(m[0]) if c in "OoIl"])
     tape.rewrite([(m.start(), m.end(), "@") for m in AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in DOT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(tape.text)])
+    for whole, dot in ((JOINED, JOINED_DOT), (WIDE, WIDE_DOT)):
+        edits = []
+        for m in whole.finditer(tape.text):
+            edits += [(d.start(), d.end(), ".") for d in dot.finditer(tape.text, m.start(), m.start(1))]
+            edits.append((*m.span(1), "@"))
+            edits += [(d.start(), d.end(), ".") for d in dot.finditer(tape.text, m.end(1), m.end())]
+        tape.rewrite(edits)
     edits = []
     for m in BARE.finditer(tape.text):
         spelled = not m[2].strip().startswith("@")
@@ -205,9 +248,11 @@ def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[t
             a, b = min(tape.start[i:j]), max(tape.end[i:j])
             k = bisect_left(firsts, a)
             touched = k < len(changed) and changed[k][0] < b or k > 0 and changed[k - 1][1] > a
-            n = bisect_right(have, (a, b))
-            clash = n < len(have) and have[n][0] < b or n > 0 and have[n - 1][1] > a
-            if touched and not clash:
+            n = bisect_left(have, (a, b))
+            met = [s for s in have[max(0, n - 1) : bisect_left(have, (b, b))] if s[0] < b and s[1] > a]
+            # A base span grows only where the text goes on without a blank: "555-1373 Un" is a number and a word.
+            grows = lambda x, y: a <= x and y <= b and (x, y) != (a, b) and (x == a or not text[x - 1].isspace()) and (y == b or not text[y].isspace())
+            if touched and all(grows(x, y) for x, y in met):
                 have.insert(n, (a, b))
         every[kind] = have
     return base, every

@@ -640,6 +640,43 @@ def test_disguises(text, kind, found):
     assert [text[a:b] for a, b in every[kind]] == ([found] if found else [])
 
 
+def test_recall_on_generated_disguises():
+    import random
+
+    from .disguises import FORMS
+
+    rng = random.Random(5)
+    for kind, forms in FORMS.items():
+        found = []
+        for form in forms:
+            for _ in range(30):
+                value = form(rng)
+                text = f"{odd.prose(rng, 5)}: {value}, {odd.prose(rng, 5)}"
+                a = text.index(value)
+                spans = pii.spans(text)[1][kind]
+                # The span covers the value but for a letter or two at its ends.
+                found.append(any(i <= a + 2 and j >= a + len(value) - 2 for i, j in spans))
+        assert sum(found) >= 0.95 * len(found), (kind, sum(found), len(found))
+
+
+def test_disguises_leave_words_and_numbers_alone():
+    for t in (
+        "call +1 (848) 555-1373 Un an plus tard", "one, two, three and four", "we met at noon. dot and at", "rooms 12 - 14 and 3 . 4", "up to 50% and 40 plus 3 more", "look-at-me and run_at_once",
+        "from 10 to 20, then 1999-2003", "OO 7 and 1O1 lIl", "eins zwei Polizei", "sixteen, seventeen",
+    ):
+        base, every = pii.spans(t)
+        assert base == every, t
+
+
+@pytest.mark.parametrize("unit", ["1 ", "one ", "a-at-", "a.b-", "a @ ", "1 . ", "0O", "plus 1", "a.b at c.", "a dot ", "1-", "[ ", "\t", "a_dot_", " @"])
+def test_hostile_texts_take_time_in_proportion(unit):
+    import time
+
+    began = time.perf_counter()
+    pii.spans(unit * (200_000 // len(unit)) + "@")
+    assert time.perf_counter() - began < 5
+
+
 def test_spelled_at_with_plain_dots():
     for t, want in (
         ("write to jane.doe at example.com today", "jane.doe at example.com"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import re
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = spark.conf.get("spark.cairnframe.own.dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="cairnframe-")
@@ -32,10 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """Tables written to the shared folder by one query: they cut lineage and outlive executors."""
+    """Tables written to the shared folder by one query: they cut lineage and outlive executors. They go when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(self._delete, self.at)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -45,9 +50,12 @@ class Stored:
 
     def drop(self, n: int) -> None:
         """Removes the n-th table, which nothing will read again."""
-        jvm, at = self.spark._jvm, f"{self.at}/{n}"
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(f"{self.at}/{n}")
+
+    def _delete(self, at: str) -> None:
+        with contextlib.suppress(Exception):  # a table left over does no harm, and at the end the session may be gone
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -141,21 +149,34 @@ def hashed_words(texts: pa.Array, lower: bool = False, most_bytes: int = 1 << 20
     return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(starts)
 
 
+def _libc():
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim") else None  # glibc
+
+
+def frugal() -> None:
+    """Lets a worker's allocator keep little: one arena, and blocks of 1 MB or more straight from the system."""
+    if libc := _libc():
+        arenas, mmap_from, trim_from = -8, -3, -1  # fixed values: names of glibc's settings
+        for name, value in ((arenas, 1), (mmap_from, 1 << 20), (trim_from, 1 << 20)):
+            libc.mallopt(name, value)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers outlive their tasks, and stages share an executor."""
     _POWERS.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # not glibc
-        pass
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 def tidy(run):
-    """run, a function over batches, that gives memory back when its partition ends."""
+    """run, a function over batches, that holds little and gives memory back when its partition ends."""
 
     def to_the_end(batches):
+        frugal()
         try:
             yield from run(batches)
         finally:

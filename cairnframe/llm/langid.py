@@ -33,14 +33,17 @@ from .common import Stored, batch, mapped, mix, slices
 RUNS = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4, 5)
 #: Words whose n-grams are in memory at a time.
-BLOCK = 25_000
+BLOCK = 8_000
 
 
-def _numerals() -> str:
-    return "".join(c for c in map(chr, range(0x110000)) if RUNS.match(c) and not unicodedata.category(c).startswith("L"))
+def _numerals() -> tuple[re.Pattern, re.Pattern]:
+    """Numerals in and beyond the basic plane. (A class that reaches beyond it is slow to match.)"""
+    found = [c for c in map(chr, range(0x110000)) if RUNS.match(c) and not unicodedata.category(c).startswith("L")]
+    return tuple(re.compile(f"[{''.join(c for c in found if (c > chr(0xFFFF)) == beyond)}]+") for beyond in (False, True))
 
 
-NUMERAL = re.compile(f"[{re.escape(_numerals())}]+")
+NUMERAL, NUMERAL_BEYOND = _numerals()
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -48,7 +51,11 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
-    return RUNS.findall(text if text.isascii() else NUMERAL.sub(" ", text))
+    if not text.isascii():
+        text = NUMERAL.sub(" ", text)
+        if BEYOND.search(text):
+            text = NUMERAL_BEYOND.sub(" ", text)
+    return RUNS.findall(text)
 
 
 def grams(words: list[str], orders=ORDERS) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +133,7 @@ class Filters:
 class Reader:
     """Decides texts in turn; what a word hits is remembered, for at most `most` words."""
 
-    def __init__(self, filters: Filters, orders=ORDERS, most: int = 300_000):
+    def __init__(self, filters: Filters, orders=ORDERS, most: int = 120_000):
         self.filters, self.orders, self.most = filters, orders, most
         self.rows, self.table = {}, np.zeros((0, len(filters.languages) + 1))
 
@@ -163,7 +170,7 @@ def learn(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str =
         for b in slices(batches):
             for t, language in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.setdefault(language, Counter()).update(words_of(t))
-            if sum(map(len, held.values())) > 300_000:
+            if sum(map(len, held.values())) > 100_000:
                 yield from flush()
         yield from flush()
 

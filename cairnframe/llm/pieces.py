@@ -173,7 +173,7 @@ class Transducer:
             return -self.score[piece] if piece in self.score else self.unknown_cost
         found = self.pairs.get((before, piece))
         if found is None:
-            if len(self.pairs) > 250_000:
+            if len(self.pairs) > 80_000:
                 self.pairs.clear()
             right = self.merge(piece) == [piece] if before is None else self.merge(before + piece) == [before, piece]
             self.pairs[before, piece] = found = 0.0 if right else INFINITE
@@ -251,7 +251,7 @@ class Transducer:
                 if ids is None:
                     ids = np.array(self.written(self.shortest(part)), np.int32).tobytes()
                 if len(part) <= 64:
-                    if len(self.remembered) >= 120_000:  # what was used since the last time stays
+                    if len(self.remembered) >= 50_000:  # what was used since the last time stays
                         self.older, self.remembered = self.remembered, {}
                     self.remembered[part] = ids
             out.append(ids)

@@ -58,6 +58,16 @@ class Stored:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, for use between the stages of a long job.
+
+    An executor's heap grows to its limit under any long stage and is given back only by a full collection; until then it stands beside
+    what the next stage's Python workers need.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever its case."""
     have = {c.lower() for c in df.columns}

@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages over documents, each on all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next. All but the last
-return the columns of documents.
+return the columns of documents. Executors collect their garbage before each stage, so that heap which one stage grew doesn't stand
+beside the Python workers of the next.
+
+Defined results: a null or empty text has no language and goes at the first stage, and so do texts without a letter; all columns are kept as they are,
+whatever their names, but text and n_chars, which follow the redaction; of linked rows that of the smallest doc_id stays, of
+rows that agree in doc_id and text one; a row of a null doc_id stays unless it is linked to one that has an id; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -12,35 +18,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.llm import jaccard, langid, leaks, pieces, pii
-from cairnframe.llm.common import Stored
+from cairnframe.llm.common import Stored, settle
 
 PIECES = os.environ.get("CAIRNFRAME_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: `und` and texts that hardly resemble any learned language go."""
+    settle(spark)
     filters = langid.learn(spark, docs.where(~F.coalesce(langid.held_out(), F.lit(False))))
     return langid.keep(spark, docs, filters)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of links, the one of the smallest doc_id."""
+    settle(spark)
     return jaccard.keep_one(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
+    settle(spark)
     return leaks.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    settle(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = PIECES) -> DataFrame:
     """All columns of documents with n_pieces, ids and the text decoded from them."""
+    settle(spark)
     with open(model, "rb") as f:
         return pieces.encode(spark, docs, f.read(), keep=docs.columns)
 

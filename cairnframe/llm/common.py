@@ -165,10 +165,10 @@ def _libc():
 
 
 def frugal() -> None:
-    """Lets a worker's allocator keep little: one arena, and blocks of 1 MB or more straight from the system."""
+    """Lets a worker's allocator keep little: one arena, and blocks of 8 MB or more straight from the system."""
     if libc := _libc():
         arenas, mmap_from, trim_from = -8, -3, -1  # fixed values: names of glibc's settings
-        for name, value in ((arenas, 1), (mmap_from, 1 << 20), (trim_from, 1 << 20)):
+        for name, value in ((arenas, 1), (mmap_from, 8 << 20), (trim_from, 8 << 20)):
             libc.mallopt(name, value)
         pa.set_memory_pool(pa.system_memory_pool())
 

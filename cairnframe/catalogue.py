@@ -398,7 +398,7 @@ def table_preview(spark, sf_dir):
     return _one(spark, preview=table(_scan(spark, sf_dir, "customer", ordered=True)))
 
 
-@query()
+@query("SELECT concat('Source: csv', chr(10), 'Path: /orders.csv', chr(10), 'Scan: projection=[o_custkey,o_orderkey,o_totalprice] filter_even=o_orderkey', chr(10), 'Ops:', chr(10), '- sort(o_custkey,asc)', chr(10), '- select(o_totalprice)', chr(10)) AS plan")
 def explain_text(spark, sf_dir):
     plan = scan_csv(spark, f"{sf_dir}/orders.csv").filter(col("o_orderkey").even()).sort("o_custkey").select("o_totalprice")
     return _one(spark, plan=plan.explain().replace(sf_dir, ""))

@@ -246,7 +246,14 @@ class Series:
         return [r[0] for r in ordered(self.frame._df, self.frame._keys).select(quoted(self.name)).collect()]
 
     def value(self, i: int):
-        return self.values()[i]
+        """The i-th value, from the end if negative. Only this row comes to the driver."""
+        n = i if i >= 0 else -i - 1
+        frame = self.frame.select(self.name)
+        rows = frame.slice(n, 1) if i >= 0 else frame.tail(n + 1).head(1)
+        found = rows.collect()
+        if not found or i < 0 and n >= len(self):
+            raise IndexError(f"row {i} of column {self.name!r}")
+        return found[0][0]
 
     def is_null(self, i: int) -> bool:
         return self.value(i) is None

@@ -169,7 +169,7 @@ class LazyFrame:
         return frame
 
     def explain(self, physical: bool = False) -> str:
-        """The plan as text; a plan that can't be made shows why."""
+        """The plan as text. A plan that can't be made raises its error, whose `explained` has the text so far with the reason."""
         lines = [f"Source: {self.source}", f"Path: {self.path}"]
         ops = self.ops
         if self.source == "csv":
@@ -180,7 +180,8 @@ class LazyFrame:
             try:
                 scan = self._scan()
             except FrameError as e:
-                return "\n".join([*lines, f"PlanningError: {e}"]) + "\n"
+                e.explained = "\n".join([*lines, f"PlanningError: {e}"]) + "\n"
+                raise
             columns = "* (all)" if scan.columns is None else f"[{','.join(sorted(scan.columns))}]"
             lines.append(f"Scan: projection={columns}" + (f" filter_even={scan.even}" if scan.even else ""))
             ops = scan.rest

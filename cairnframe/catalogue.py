@@ -1,7 +1,7 @@
 """The registered queries over the test tables, each with its SQL.
 
 Scans of CSV and JSON read files that the query itself writes from a table: through Spark, into the shared folder that the cluster names in
-spark.checkpoint.dir (one of our own only where none is named).
+spark.checkpoint.dir (one of our own only in local mode, where none is named).
 """
 
 from __future__ import annotations
@@ -9,17 +9,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import FrameError
 from .functions import and_, col, count, max_, mean, min_, not_, or_, sum_
 from .operators.construct import from_map, from_records, int64_column, utf8_column
 from .operators.frame import Frame
 from .operators.render import table
 from .operators.serialize import projection_checksum, rows_json
-from .plans.lazy import scan_csv, scan_json
+from .plans.lazy import CancelToken, scan_csv, scan_json
 from .sources.csv import ScanOptions
 from .sources.parquet import scan_parquet
 
@@ -49,6 +50,8 @@ def _nullable(spark, sf_dir, name: str, columns: dict[str, str], keep: list[str]
 
 def _folder(spark: SparkSession) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='cairnframe-')}/scan-{uuid.uuid4().hex}"
 
 
@@ -161,6 +164,12 @@ def tail(spark, sf_dir):
     return _scan(spark, sf_dir, "orders", ordered=True).select("o_orderkey", "o_totalprice").sort("o_orderkey").tail(10).to_spark()
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def limit_rows(spark, sf_dir):
+    f = _scan(spark, sf_dir, "orders", ordered=True).select("o_orderkey", "o_totalprice")
+    return f.sort("o_orderkey").sort("o_totalprice", descending=True).limit(15).to_spark()
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 100")
 def slice_rows(spark, sf_dir):
     return _scan(spark, sf_dir, "orders", ordered=True).select("o_orderkey", "o_totalprice").sort("o_orderkey").slice(100, 20).to_spark()
@@ -364,6 +373,80 @@ def json_group(spark, sf_dir):
     return scan_json(spark, path).group_by("c_mktsegment").agg(count(), max_("c_acctbal")).collect().to_spark()
 
 
+def _written(spark, text: str) -> str:
+    """A file of the text."""
+    path = _folder(spark)
+    spark.createDataFrame([(text,)], ["value"]).coalesce(1).write.text(path)
+    return path
+
+
+def _outcomes(spark, cases: dict[str, Callable]) -> DataFrame:
+    """For each case the class of the error that it raises, or `no error`."""
+    found = []
+    for name, run in cases.items():
+        try:
+            run()
+            found.append((name, "no error"))
+        except FrameError as e:
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "name string, outcome string")
+
+
+@query("""SELECT c_custkey, c_acctbal > 0 AS plain, CASE WHEN c_acctbal > 5000 THEN NULL ELSE c_acctbal > 0 END AS written,
+    c_acctbal > 0 AS mixed, CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'maybe' END AS neither FROM customer""")
+def json_bools(spark, sf_dir):
+    columns = {
+        "c_custkey": "c_custkey",
+        "plain": "c_acctbal > 0",
+        "written": "if(c_acctbal > 5000, '', if(c_acctbal > 0, 'TRUE', 'f'))",
+        "mixed": "if(c_acctbal > 0, 't', 'False')",
+        "neither": "if(c_acctbal > 0, 'true', 'maybe')",
+    }
+    return scan_json(spark, _json(spark, sf_dir, "customer", columns)).collect().to_spark()
+
+
+@query("""SELECT * FROM (VALUES ('scalar root', 'FrameError'), ('text root', 'FrameError'), ('no rows', 'FrameError'), ('rows without columns', 'FrameError'),
+    ('two documents', 'FrameError'), ('cut short', 'FrameError'), ('one row', 'no error'), ('rows under tasks', 'no error')) t(name, outcome)""")
+def json_errors(spark, sf_dir):
+    texts = {
+        "scalar root": "12.5",
+        "text root": '"rows"',
+        "no rows": "[]",
+        "rows without columns": "[{}, {}]",
+        "two documents": '[{"k": 4}] [{"k": 5}]',
+        "cut short": '[{"k": 4}, {"k"',
+        "one row": '{"k": 4}',
+        "rows under tasks": '{"tasks": [{"k": 4}], "k": 5}',
+    }
+    return _outcomes(spark, {n: lambda t=t: scan_json(spark, _written(spark, t)).collect() for n, t in texts.items()})
+
+
+@query("""SELECT * FROM (VALUES ('no header', 'FrameError'), ('repeated name', 'DuplicateColumn'), ('short row', 'ParseError'), ('long row', 'ParseError'),
+    ('only a header', 'no error'), ('filter of a dropped column', 'UnknownColumn'), ('sort of a dropped column', 'UnknownColumn')) t(name, outcome)""")
+def csv_errors(spark, sf_dir):
+    scan = lambda text: scan_csv(spark, _written(spark, text))
+    return _outcomes(
+        spark,
+        {
+            "no header": lambda: scan("").collect(),
+            "repeated name": lambda: scan("p,q,p\n4,5,6").collect(),
+            "short row": lambda: scan("p,q\n4,5\n6").collect(),
+            "long row": lambda: scan("p,q\n4,5\n6,7,8").collect(),
+            "only a header": lambda: scan("p,q").collect(),
+            "filter of a dropped column": lambda: scan("p,q\n4,5").select("p").filter(col("q").gt(1)).collect(),
+            "sort of a dropped column": lambda: scan("p,q\n4,5").select("p").sort("q").collect(),
+        },
+    )
+
+
+@query("SELECT * FROM (VALUES ('csv', 'Cancelled'), ('json', 'Cancelled'), ('csv, not cancelled', 'no error')) t(name, outcome)")
+def cancelled_scans(spark, sf_dir):
+    gone = CancelToken()
+    gone.cancel()
+    csv, json = scan_csv(spark, _written(spark, "p,q\n4,5")), scan_json(spark, _written(spark, '[{"p": 4}]'))
+    return _outcomes(spark, {"csv": lambda: csv.collect(gone), "json": lambda: json.collect(gone), "csv, not cancelled": lambda: csv.collect(CancelToken())})
+
+
 # --- construction and text ------------------------------------------------------------------------------------------
 @query("SELECT * FROM (VALUES (true, 1::BIGINT, 1.5::DOUBLE, 'x'), (NULL, 2, NULL, ''), (false, NULL, 2.5, NULL)) t(a, b, c, d)")
 def frame_from_map(spark, sf_dir):
@@ -382,6 +465,47 @@ def frame_from_records(spark, sf_dir):
     return from_records(spark, [_Record(1, "x", 0.5), _Record(2, None, 1), None], _Record).to_spark()
 
 
+@dataclass
+class _Named:
+    first: int = field(metadata={"name": "renamed"})
+    second: str = field(metadata={"json": "as_json,omitempty"})
+    left_out: float = field(metadata={"name": "-"})
+    unsupported: list[int]
+    _private: int
+    plain: bool
+
+
+@query("SELECT * FROM (VALUES (7::BIGINT, 'u', true), (8, 'v', false)) t(renamed, as_json, plain)")
+def frame_from_named_records(spark, sf_dir):
+    records = [_Named(7, "u", 0.5, [1], 2, True), _Named(8, "v", 1.5, [], 3, False)]
+    return from_records(spark, records, use_json=True).to_spark()
+
+
+@query("""SELECT (SELECT count(*) FROM orders) AS size, 'float64' AS dtype, min_by(price, k) AS first_value, min_by(price, k) IS NULL AS first_is_null,
+    max_by(o_orderpriority, k) AS last_text, false AS as_int64, true AS as_float64 FROM (SELECT o_orderkey AS k, o_orderpriority, o_totalprice AS price FROM orders)""")
+def series_accessors(spark, sf_dir):
+    f = _scan(spark, sf_dir, "orders", ordered=True).sort("o_orderkey")
+    price, text = f.column("o_totalprice"), f.column("o_orderpriority")
+    return _one(
+        spark,
+        size=len(price),
+        dtype=str(price.dtype),
+        first_value=price.value(0),
+        first_is_null=price.is_null(0),
+        last_text=text.value_string(len(text) - 1),
+        as_int64=price.int64() is not None,
+        as_float64=price.float64() is not None,
+    )
+
+
+@query("""SELECT * FROM (VALUES (0.0::DOUBLE, '0'), (1.0, '1'), (-2.5, '-2.5'), (100000.0, '100000'), (1000000.0, '1e+06'), (1234567.5, '1.2345675e+06'), (0.0001, '0.0001'),
+    (0.00001, '1e-05'), (1e100, '1e+100'), (0.1, '0.1'), (NULL, '')) t(v, text)""")
+def float_texts(spark, sf_dir):
+    f = from_map(spark, {"v": [0.0, 1.0, -2.5, 100000.0, 1000000.0, 1234567.5, 0.0001, 0.00001, 1e100, 0.1, None]})
+    v = f.column("v")
+    return spark.createDataFrame([(x, v.value_string(i)) for i, x in enumerate(v.values())], "v double, text string")
+
+
 @query("""SELECT sha256(string_agg(concat(o_orderkey::VARCHAR, chr(31), o_custkey::VARCHAR, chr(31), coalesce(nullif(o_orderstatus, 'F'), '')) || chr(10), '' ORDER BY o_orderkey)) AS checksum FROM orders""")
 def checksum_cols(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "o_custkey", "nullif(o_orderstatus, 'F') status", "o_totalprice")

@@ -72,7 +72,7 @@ def scan_csv_frame(spark: SparkSession, path: str, options: ScanOptions = ScanOp
     check_names(names, spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true")
     chosen = names if columns is None else [n for n in names if n in columns]
     if not chosen:
-        raise FrameError("projection selected no columns")
+        raise FrameError(f"{path} has none of the columns {sorted(columns or [])}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = reader(not options.strict).schema(schema).csv(path, header=True)
     tokens = list(options.null_values or NULL_TOKENS)

@@ -52,7 +52,7 @@ def scan_json_frame(spark: SparkSession, path: str) -> Frame:
         F.col("root").try_cast("array<variant>"),
         F.try_variant_get("root", "$.tasks", "array<variant>"),
         F.when(entries.isNotNull(), F.array("root")),
-        F.raise_error(F.lit("unsupported json root type")).cast("array<variant>"),
+        F.raise_error(F.lit("the root is neither an array nor an object")).cast("array<variant>"),
     )
     rows = root.select(F.posexplode(listed).alias("__row_0", "row"))
     keyed = F.coalesce(F.col("row").try_cast("map<string,variant>"), F.create_map(F.lit("value"), F.col("row")))
@@ -65,10 +65,10 @@ def scan_json_frame(spark: SparkSession, path: str) -> Frame:
     except Exception as e:
         raise FrameError(f"can't read {path}: {str(e)[:300]}") from e
     if not found:
-        raise FrameError("json rows empty")
+        raise FrameError(f"{path} has no rows")
     found = sorted((r for r in found if r["key"] is not None), key=lambda r: r["key"])
     if not found:
-        raise FrameError("a frame needs a column")
+        raise FrameError(f"the rows of {path} have no keys")
     names = [r["key"] for r in found]
     check_names(names, spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true")
     place = "__row_0"

@@ -119,7 +119,8 @@ class FrameBuilder:
                 return frame_of(self._spark, *self._columns.values())
             except FrameError as e:
                 errors.append(str(e))
-        raise FrameError("; ".join(errors))
+        # Fixed value: the heading of several errors, and a dash before each, are part of what a builder promises.
+        raise FrameError(errors[0] if len(errors) == 1 else "multiple errors:\n" + "\n".join(f"- {e}" for e in errors))
 
 
 def from_map(spark: SparkSession, columns: dict) -> Frame:

@@ -11,7 +11,7 @@ from ..errors import DuplicateColumn, FrameError, LengthMismatch, TypeMismatch,
 from ..functions.aggregates import Agg, count
 from ..functions.predicates import Expr, quoted
 from ..functions.text import value_text
-from ..plans.ordering import Key, hidden, indexed, numbered, ordered
+from ..plans.ordering import TOP_ROWS, Key, hidden, indexed, numbered, ordered, window
 from ..types import DataType, Field, Kind, Schema, from_spark
 
 
@@ -155,8 +155,7 @@ class Frame:
         if offset < 0 or length < 0:
             raise FrameError("offset and length can't be negative")
         self._order_needed()
-        df = ordered(self._df, self._keys)
-        return Frame((df.offset(offset) if offset else df).limit(length), self._names, self._keys)
+        return Frame(window(self._df, self._keys, offset, length)[0], self._names, self._keys)
 
     def head(self, n: int) -> Frame:
         return self.slice(0, n)
@@ -167,7 +166,7 @@ class Frame:
         if n < 0:
             raise FrameError("a length can't be negative")
         self._order_needed()
-        return Frame(ordered(self._df, self._keys, backwards=True).limit(n), self._names, self._keys)
+        return Frame(window(self._df, self._keys, 0, n, backwards=True)[0], self._names, self._keys)
 
     def sort(self, column: str, descending: bool = False) -> Frame:
         """Stable: rows that agree stay in the order they had. Nulls come last either way."""
@@ -246,12 +245,19 @@ class Series:
         return [r[0] for r in ordered(self.frame._df, self.frame._keys).select(quoted(self.name)).collect()]
 
     def value(self, i: int):
-        """The i-th value, from the end if negative. Only this row comes to the driver."""
-        n = i if i >= 0 else -i - 1
+        """The i-th value, from the end if negative. No more than TOP_ROWS rows of this column come to the driver."""
+        n, backwards = (i, False) if i >= 0 else (-i - 1, True)
         frame = self.frame.select(self.name)
-        rows = frame.slice(n, 1) if i >= 0 else frame.tail(n + 1).head(1)
-        found = rows.collect()
-        if not found or i < 0 and n >= len(self):
+        frame._order_needed()
+        if n >= TOP_ROWS and 0 <= (left := len(self) - 1 - n) < n:
+            n, backwards = left, not backwards
+        rows, kept = window(frame._df, frame._keys, n, 1, backwards)
+        try:
+            found = rows.select(quoted(self.name)).collect()
+        finally:
+            if kept is not None:
+                kept.unpersist()
+        if not found:
             raise IndexError(f"row {i} of column {self.name!r}")
         return found[0][0]
 

@@ -4,7 +4,7 @@ import dataclasses
 
 import pytest
 
-from cairnframe import FrameBuilder, FrameError, bool_column, col, count, float64_column, frame_of, from_map, from_records, int64_column, max_, mean, min_, rows_json, projection_checksum, scan_parquet, sum_, table, TableOptions, utf8_column, column_of
+from cairnframe import Frame, FrameBuilder, FrameError, bool_column, col, count, float64_column, frame_of, from_map, from_records, int64_column, max_, mean, min_, rows_json, projection_checksum, scan_parquet, sum_, table, TableOptions, utf8_column, column_of
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +83,26 @@ def test_series(abc):
         abc.column("q")
 
 
+def test_rows_far_from_both_ends(spark, monkeypatch):
+    n, asked = 20_000, []
+    df = spark.range(n, numPartitions=5).selectExpr("id * 7919 % 20000 k", "concat('t', id * 7919 % 20000) t")
+    for name in ("limit", "offset"):
+        monkeypatch.setattr(type(df), name, lambda self, m, f=getattr(type(df), name): asked.append(m) or f(self, m))
+    f = Frame(df, df.columns).sort("k", descending=True)
+    s = f.column("t")
+    for i in (0, 7, 9_000, n // 2, n - 5_000, n - 1, -1, -9_000, -n):
+        assert s.value_string(i) == f"t{n - 1 - i % n}"
+    for i in (n, n + 9, -n - 1):
+        with pytest.raises(IndexError):
+            s.value(i)
+    k = f.select("k")
+    assert k.slice(9_000, 3).collect() == [(10_999,), (10_998,), (10_997,)]
+    assert k.slice(n - 2, 5_000).collect() == [(1,), (0,)] and k.slice(n, 5).collect() == []
+    assert k.head(6_000).collect() == [(n - 1 - i,) for i in range(6_000)]
+    assert k.tail(6_000).collect() == [(5_999 - i,) for i in range(6_000)] and k.tail(n + 1).height == n
+    assert max(asked) <= 4_096
+
+
 def test_sorting(spark):
     f = frame_of(spark, utf8_column("id", list("ABCD")), int64_column("k", [1, 1, 0, 1]))
     assert [r[0] for r in f.sort("k").collect()] == list("CABD")

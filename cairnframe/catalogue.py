@@ -297,11 +297,12 @@ def group_first_seen_order(spark, sf_dir):
 
 
 # --- scans ----------------------------------------------------------------------------------------------------------
-def _with_header(spark, sf_dir, name: str, columns: dict[str, str], order: str, **options) -> str:
-    """A one-part CSV with a header, in the table's order."""
+def _with_header(spark, sf_dir, name: str, columns: dict[str, str], *order: str, **options) -> str:
+    """A one-part CSV with a header, in the table's order; values keep the white space at their ends."""
     path = _folder(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(*(f"{e} as {c}" for c, e in columns.items()))
-    df.coalesce(1).sortWithinPartitions(order).write.csv(path, header=True, escape='"', emptyValue="", timestampFormat="yyyy-MM-dd", **options)
+    whole = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "timestampFormat": "yyyy-MM-dd"}
+    df.coalesce(1).sortWithinPartitions(*map(F.expr, order)).write.csv(path, header=True, **whole, **options)
     return path
 
 
@@ -327,9 +328,11 @@ def csv_infer_nulls(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN lang = 'fr' THEN NULL ELSE lang END AS lang, text FROM documents")
 def csv_custom_delimiter(spark, sf_dir):
-    columns = {"doc_id": "doc_id", "lang": "if(lang = 'fr', 'NA', lang)", "text": "text"}
-    path = _with_header(spark, sf_dir, "documents", columns, "doc_id", sep=";", quoteAll=True)
-    return scan_csv(spark, path, ScanOptions(delimiter=";", null_values=("NA",))).collect().to_spark()
+    # In the file texts have a sign in front, so that none is the null token or looks like a number; rows with values come first, as types follow the first rows.
+    columns = {"doc_id": "doc_id", "lang": "concat('=', nullif(lang, 'fr'))", "text": "concat('=', text)"}
+    path = _with_header(spark, sf_dir, "documents", columns, "lang is null", "text is null", "doc_id", sep=";", quoteAll=True, nullValue="NA")
+    found = scan_csv(spark, path, ScanOptions(delimiter=";", null_values=("NA",))).collect().to_spark()
+    return found.withColumns({c: F.expr(f"substr({c}, 2)") for c in ("lang", "text")})
 
 
 @query("SELECT o_orderpriority, count(*) AS count, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")

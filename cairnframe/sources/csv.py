@@ -60,7 +60,8 @@ def scan_csv_frame(spark: SparkSession, path: str, options: ScanOptions = ScanOp
     """The file as a frame, of the named columns (in header order) if given."""
 
     def reader(pruned: bool):
-        return spark.read.options(sep=options.delimiter or ",", multiLine=options.multiline, quote='"', escape='"', nullValue="\x01", emptyValue="", mode="FAILFAST", columnPruning=pruned, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        # An empty cell may come as null, as text() makes it empty again. By default a NUL before a quote is an escape and goes; here a noncharacter is.
+        return spark.read.options(sep=options.delimiter or ",", multiLine=options.multiline, quote='"', escape='"', charToEscapeQuoteEscaping="\uffff", nullValue="", emptyValue="", mode="FAILFAST", columnPruning=pruned, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
     try:
         first = reader(True).csv(path, header=False).head(1)

@@ -51,6 +51,21 @@ def test_whole_sorts_keep_every_row_in_order(name, spark, duck):
         assert got[-1][1] is None
 
 
+def test_csv_keeps_odd_texts(spark, tmp_path):
+    texts = ["plain", None, "", "NA", "=NA", "NULL", "12", " a", "a ", "a\t", "\na\r\n", " ", '"', '";"', "\x01", "\x00", 'a\x00"b', "\ufeffa", "a;b\nc"]
+    langs = ["en", "fr", None, "NA", "", " de "]
+    odd = [(i, t, langs[i % len(langs)]) for i, t in enumerate(texts * len(langs))]
+    for name, rows_ in {"odd": odd, "nulls first": [(i, None, "fr") for i in range(8_200)] + [(8_200, "a", "en")], "numbers": [(1, "07", "1"), (2, "8", None)]}.items():
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows_, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+        db = duckdb.connect()
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+        df = catalogue.queries()["csv_custom_delimiter"](spark, path)
+        want = db.sql(catalogue.oracle_sql()["csv_custom_delimiter"])
+        assert df.dtypes == [("doc_id", "bigint"), ("lang", "string"), ("text", "string")]
+        assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

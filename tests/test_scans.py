@@ -45,6 +45,11 @@ def test_csv_nulls_and_types(csv):
     assert kinds(csv("a\n9223372036854775808\n").collect()) == ["float64"]
 
 
+def test_csv_control_characters(csv):
+    cells = ["\x01", "\x00", 'a\x00"b', "\x1f"]
+    assert csv(as_csv([(i, c) for i, c in enumerate(cells)], ("i", "s"))).collect().collect() == list(enumerate(cells))
+
+
 def stations(n, seed=5):
     """Generated rows: an id, a level that may be missing, a reading, a flag and a remark with anything in it."""
     dice = random.Random(seed)
